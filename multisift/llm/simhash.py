@@ -84,7 +84,7 @@ class Ring:
             head = mixed(self.segment(x, i) * np.uint64(self.m) + np.uint64(i)) << np.uint64(self.width[j])
             tail = self.segment(x, j)
             # the chain's start is told by the low bits of the key
-            for flip in [0, *(1 << b for b in range(self.width[j]))] if self.max_bits > 1 else [0]:
+            for flip in [0, *(1 << b for b in range(self.width[j]))] if self.m > 1 else [0]:
                 keys.append(mixed(head + (tail ^ np.uint64(flip))) // np.uint64(self.m) * np.uint64(self.m) + np.uint64(i))
                 who.append(x)
                 role.append(np.full(len(x), flip != 0, np.uint8))

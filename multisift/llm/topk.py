@@ -118,22 +118,23 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 100 = 0", k: int =
     def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if rows.num_rows and queries.num_rows:
-            tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows))
-            for query_id, q, bound in zip(queries.column("vec_id").to_pylist(), _matrix(queries), queries.column("bound").to_pylist(), strict=True):
+            tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("x")))
+            for query_id, q, bound in zip(queries.column("q_vec_id").to_pylist(), _matrix(queries.column("q_x")), queries.column("q_bound").to_pylist(), strict=True):
                 out += [(query_id, -v, s) for s, v in tree.best(query_id, q, k, _NONE if bound is None else bound)]
         return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=_SCHEMA)
 
     def visit(queries: DataFrame) -> DataFrame:
-        return held.cogroup(queries.select("dim", "shard", "block", "vec_id", "x", "bound").groupBy("dim", "shard", "block")).applyInArrow(cell, _FOUND)
+        asks = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "shard", "block", "vec_id", "x", "bound")])
+        return held.cogroup(asks.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(cell, _FOUND)
 
     first = materialise(visit(asked.withColumn("shard", F.col("home")).withColumn("bound", F.lit(None).cast("long"))))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    others = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim(shards) - 1))).where("shard <> home")
+    others = asked.drop("shard").join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim(shards) - 1))).where("shard <> home")
     found = first.union(visit(others)) if max(shards.values(), default=1) > 1 else first
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
-    x = rows.column("x").combine_chunks()
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks()
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
