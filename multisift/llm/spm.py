@@ -6,27 +6,33 @@ and forgotten, so memory is bounded by the window and not by the text.
 
 A unigram model's path is that of the highest total score. A BPE model has one valid path to each boundary: a piece continues
 it only if merging the last two pieces anew, by the model's own order of merges, leaves the boundary between them. That is
-the same search with a yes or no in place of a score, and gives the ids of merging the whole text. Characters outside the
+the same search with a yes or no in place of a score, and gives the ids of merging the whole text. Short runs go through it
+side by side, as vector operations. Characters outside the
 vocabulary become byte pieces. Runs of text that no piece can cross (those between a character and a following space) are
-searched one by one, and the results of short ones remembered.
+searched one by one, and each only once among the texts of a chunk.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_lengths, chunks
+
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Values fixed by the format of model files.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_MEMO, _SHORT = 400_000, 48
+#: Bounds: pairs of pieces remembered, runs searched at once, the longest of those, and the text encoded at once.
+_PAIRS, _AT_ONCE, _SHORT, _CHARS = 300_000, 20_000, 48, 4_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -55,6 +61,46 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Table:
+    """A map of non-negative integers for many keys at once: open addressing, cleared when it is half full."""
+
+    def __init__(self, size: int):
+        self.bits = max(10, (4 * size).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.used = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, or -1."""
+        slot, out = self._slots(keys), np.full(len(keys), -1, np.int64)
+        rows = np.arange(len(keys))
+        while len(rows):
+            there = self.keys[slot[rows]]
+            hit = there == keys[rows]
+            out[rows[hit]] = self.values[slot[rows[hit]]]
+            rows = rows[~hit & (there >= 0)]
+            slot[rows] = (slot[rows] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that are not in the map and differ from each other."""
+        if 2 * (self.used + len(keys)) > 1 << self.bits:
+            self.clear()
+        self.used += len(keys)
+        slot, rows = self._slots(keys), np.arange(len(keys))
+        while len(rows):
+            free = self.keys[slot[rows]] < 0
+            self.keys[slot[rows[free]]] = keys[rows[free]]  # of several for one slot the last stays
+            won = self.keys[slot[rows]] == keys[rows]
+            self.values[slot[rows[won]]] = values[rows[won]]
+            rows = rows[~won]
+            slot[rows] = (slot[rows] + 1) & ((1 << self.bits) - 1)
+
+
 class Model:
     """Pieces, scores and types of a model file, and its search."""
 
@@ -80,12 +126,27 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.runs = re.compile(".+", re.DOTALL) if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.worst = min(self.scores, default=0.0) - 10
-        self._stays: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, list[int]] = {}
+        # a tree of the pieces' characters: (node << 21 | character) -> node, and the piece that ends at a node
+        self.next: dict[int, int] = {}
+        self.piece = [-1]
+        for text, i in self.ids.items():
+            node = 0
+            for c in text:
+                key = node << 21 | ord(c)
+                if key not in self.next:
+                    self.next[key] = len(self.piece)
+                    self.piece.append(-1)
+                node = self.next[key]
+            self.piece[node] = i
+        self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else " \u2047 ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
+        self._tree = Table(len(self.next))
+        self._tree.put(np.fromiter(self.next, np.int64, len(self.next)), np.fromiter(self.next.values(), np.int64, len(self.next)))
+        self._piece_at = np.array(self.piece, np.int64)
+        self._pairs = Table(_PAIRS)
+        self._stays: dict[int, bool] = {}
 
     # ------------------------------------------------ merges
 
@@ -102,97 +163,189 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays(self, left: str, right: str) -> bool:
-        """Whether merging left + right anew gives just these two pieces (or one, for an empty left)."""
-        known = self._stays.get((left, right))
+    def stays(self, left: int, right: int) -> bool:
+        """Whether merging two pieces' text anew gives just these two; a left of -1 stands for none, or one that never merges."""
+        key = (left + 1) << 32 | right
+        known = self._stays.get(key)
         if known is None:
-            if len(self._stays) > 2 * _MEMO:
+            if len(self._stays) > _PAIRS:
                 self._stays.clear()
-            known = self._stays[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
+            known = self._stays[key] = self.merged("".join(parts)) == parts
         return known
 
     # ------------------------------------------------ search
 
-    def search(self, text: str, window: int = 4) -> Iterator[str]:
-        """The pieces of a text, committed as soon as all paths that may still grow have met."""
-        n, bpe = len(text), self.kind == BPE
-        back: dict[int, int] = {0: 0}  # boundary -> where the piece that ends there begins
-        value: dict[int, float] = {0: 0.0}
-        done = 0
-        for end in range(1, n + 1):
-            for begin in range(end - 1, max(-1, end - self.longest - 1), -1):
-                piece = text[begin:end]
-                if piece not in self.tails and end - begin > 1:
+    def search(self, text: str, window: int = 4) -> Iterator[tuple[int, int, int]]:
+        """(begin, end, id) of the pieces of a text, committed as soon as all paths that may still grow have met.
+
+        A character outside the vocabulary is a piece of its own with id -1.
+        """
+        return (self._by_merges if self.kind == BPE else self._by_scores)(text, window * self.longest)
+
+    def _by_scores(self, text: str, window: int) -> Iterator[tuple[int, int, int]]:
+        n, step, done = len(text), self.next, 0
+        last, value = {0: (0, -1)}, {0: 0.0}  # of each boundary: length and id of the best piece that ends there, and the total
+        for begin in range(n):
+            if begin not in last:
+                continue
+            node = 0
+            for end in range(begin, n):
+                node = step.get(node << 21 | ord(text[end]))
+                if node is None:
+                    break
+                i = self.piece[node]
+                if i >= 0:
+                    total = value[begin] + self.scores[i]
+                    if end + 1 not in last or total > value[end + 1]:
+                        last[end + 1], value[end + 1] = (end + 1 - begin, i), total
+            if begin + 1 not in last and ord(text[begin]) not in step:
+                last[begin + 1], value[begin + 1] = (1, -1), value[begin] + self.worst
+            if begin + 1 - done >= window and begin + 1 < n:
+                met = self._met(last, {b for b in range(begin + 1, min(n, begin + self.longest) + 1) if b in last})
+                if met > done:
+                    yield from self._path(last, done, met)
+                    done = met
+                    last, value = {b: x for b, x in last.items() if b >= done}, {b: x for b, x in value.items() if b >= done}
+        yield from self._path(last, done, n)
+
+    def _by_merges(self, text: str, window: int) -> Iterator[tuple[int, int, int]]:
+        n, step, done = len(text), self.next, 0
+        last = {0: (0, -1)}
+        for begin in range(n):
+            if begin not in last:
+                continue
+            node, left = 0, last[begin][1]
+            for end in range(begin, n):
+                node = step.get(node << 21 | ord(text[end]))
+                if node is None:
                     break
-                i = self.ids.get(piece)
-                if begin not in back or (i is None and end - begin > 1):
-                    continue
-                if bpe:
-                    if self.stays(text[back[begin] : begin], piece):
-                        back[end] = begin
-                        break
-                else:
-                    total = value[begin] + (self.worst if i is None else self.scores[i])
-                    if end not in back or total > value[end]:
-                        back[end], value[end] = begin, total
-            if end - done >= window * self.longest and end < n:
-                paths = [b for b in range(max(done, end - self.longest + 1), end + 1) if b in back]
-                while len(set(paths)) > 1:  # the farthest along goes back until all have met
-                    far = max(paths)
-                    paths = [back[b] if b == far else b for b in paths]
-                if paths[0] > done:
-                    yield from self._path(text, back, done, paths[0])
-                    done = paths[0]
-                    back = {b: p for b, p in back.items() if b >= done}
-                    value = {b: v for b, v in value.items() if b >= done}
-        yield from self._path(text, back, done, n)
+                i = self.piece[node]
+                if i >= 0 and end + 1 not in last and self.stays(left, i):
+                    last[end + 1] = end + 1 - begin, i
+            if begin + 1 not in last and ord(text[begin]) not in step:
+                last[begin + 1] = 1, -1
+            if begin + 1 - done >= window and begin + 1 < n:
+                met = self._met(last, {b for b in range(begin + 1, min(n, begin + self.longest) + 1) if b in last})
+                if met > done:
+                    yield from self._path(last, done, met)
+                    done = met
+                    last = {b: x for b, x in last.items() if b >= done}
+        yield from self._path(last, done, n)
+
+    def _short_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of many runs shorter than a window, by the same steps for all of them at once: from each boundary in turn, all
+        runs follow the tree of pieces a character at a time."""
+        length = np.array([*map(len, runs)])
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        n, width = len(runs), int(length[0])
+        text = np.zeros((n, width), np.int64)
+        flat = np.frombuffer("".join(runs[i] for i in order).encode("utf-32-le"), np.uint32)
+        text[np.arange(width) < length[:, None]] = flat
+        last, begins = np.full((n, width + 1), -2, np.int64), np.zeros((n, width + 1), np.int8)
+        last[:, 0] = -1
+        tree, pairs = self._tree, self._pairs
+        for begin in range(width):
+            rows = np.arange(np.searchsorted(-length, -begin, side="left"))  # those longer than begin
+            rows = rows[last[rows, begin] > -2]
+            left = last[rows, begin]
+            node = np.zeros(len(rows), np.int64)
+            for end in range(begin, width):
+                longer = length[rows] > end
+                rows, left, node = rows[longer], left[longer], node[longer]
+                node = tree.get(node << 21 | text[rows, end])
+                alive = node >= 0
+                if end == begin:
+                    strange = rows[~alive]
+                    strange = strange[last[strange, end + 1] == -2]
+                    last[strange, end + 1], begins[strange, end + 1] = -1, begin
+                rows, left, node = rows[alive], left[alive], node[alive]
+                if not len(rows):
+                    break
+                i = self._piece_at[node]
+                ask = np.flatnonzero((i >= 0) & (last[rows, end + 1] == -2))
+                if len(ask):
+                    key = (left[ask] + 1) << 16 | i[ask]
+                    found = pairs.get(key)
+                    new = np.unique(key[found < 0])
+                    if len(new):
+                        pairs.put(new, np.array([self.stays((k >> 16) - 1, k & 0xFFFF) for k in new.tolist()], np.int64))
+                        found = pairs.get(key)
+                    ask = ask[found == 1]
+                    last[rows[ask], end + 1], begins[rows[ask], end + 1] = i[ask], begin
+        # back from every run's end
+        ids, starts = np.full((n, width), -2, np.int64), np.zeros((n, width), np.int64)
+        at, count, rows = length.copy(), np.zeros(n, np.int64), np.arange(n)
+        while len(rows):
+            ids[rows, count[rows]] = last[rows, at[rows]]
+            at[rows] = begins[rows, at[rows]]
+            starts[rows, count[rows]] = at[rows]
+            count[rows] += 1
+            rows = rows[at[rows] > 0]
+        strange = (ids == -1).any(1)
+        turned = np.take_along_axis(ids, np.maximum(count[:, None] - 1 - np.arange(width), 0), 1).astype(np.int32)
+        whole = turned[np.arange(width) < count[:, None]].tobytes()
+        ends = np.cumsum(count) * 4
+        out = [b""] * n
+        for k, (i, a, b) in enumerate(zip(order.tolist(), (ends - 4 * count).tolist(), ends.tolist(), strict=True)):
+            out[i] = self._with_bytes(runs[i], ids[k, : count[k]][::-1].tolist(), starts[k, : count[k]][::-1].tolist()) if strange[k] else whole[a:b]
+        return out
+
+    def _with_bytes(self, run: str, ids: list[int], starts: list[int]) -> bytes:
+        out: list[int] = []
+        for i, start in zip(ids, starts, strict=True):
+            out += [i] if i >= 0 else [self.bytes[b] for b in run[start].encode()] if self.bytes else [self.unknown]
+        return array("i", out).tobytes()
+
+    def _met(self, last: dict[int, tuple[int, int]], paths: set[int]) -> int:
+        """The boundary at which all these paths have met: the farthest along goes back until one is left."""
+        while len(paths) > 1:
+            far = max(paths)
+            paths.remove(far)
+            paths.add(far - last[far][0])
+        return min(paths)
 
     @staticmethod
-    def _path(text: str, back: dict[int, int], start: int, end: int) -> list[str]:
+    def _path(last: dict[int, tuple[int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
         out = []
         while end > start:
-            out.append(text[back[end] : end])
-            end = back[end]
+            length, i = last[end]
+            out.append((end - length, end, i))
+            end -= length
         return out[::-1]
 
     # ------------------------------------------------ texts
 
-    def _ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return [i]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+    def _run(self, run: str) -> bytes:
+        found = [*self.search(run)]
+        return self._with_bytes(run, [i for _, _, i in found], [a for a, _, _ in found])
+
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers. What the texts' runs have in common is searched once."""
+        split = [self.runs.findall((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        ids = dict.fromkeys(run for runs in split for run in runs)
+        short = [run for run in ids if len(run) <= _SHORT] if self.kind == BPE else []
+        for a in range(0, len(short), _AT_ONCE):
+            part = short[a : a + _AT_ONCE]
+            ids.update(zip(part, self._short_runs(part), strict=True))
+        for run in ids:
+            if ids[run] is None:
+                ids[run] = self._run(run)
+        return [b"".join(map(ids.__getitem__, runs)) for runs in split]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        known = self._known
-        for run in self.runs.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)):
-            ids = known.get(run)
-            if ids is None:
-                ids = [i for piece in self.search(run) for i in self._ids_of(piece)]
-                if len(run) <= _SHORT:
-                    if len(known) > _MEMO:
-                        known.clear()
-                    known[run] = ids
-            out += ids
-        return out
+        return array("i", self.encoded([text])[0]).tolist()
 
     def decode(self, ids: list[int] | None) -> str:
-        """The text; bytes that aren't UTF-8 become U+FFFD, control pieces and ids out of range nothing."""
-        out = bytearray()
-        for i in ids or []:
-            if i is None or not 0 <= i < len(self.pieces):
-                continue
-            kind = self.types[i]
-            if kind == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        """The text; bytes that aren't UTF-8 become U+FFFD, control pieces and ids that are null or out of range nothing."""
+        try:
+            if len(ids or ()) and min(ids) < 0:
+                raise IndexError
+            out = b"".join(map(self.raw.__getitem__, ids or []))
+        except (IndexError, TypeError):
+            out = b"".join(self.raw[i] for i in ids if i is not None and 0 <= i < len(self.raw))
+        text = out.decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -212,8 +365,8 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id and ids of every row's whole text.
+def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
+    """doc_id and ids of every row's whole text, and with `decoded` also what the ids give back.
 
     Null and empty texts have no ids. Repeated rows give repeated rows, a null doc_id is carried along, other columns are left out.
     """
@@ -222,9 +375,17 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(held.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+            for part in chunks(byte_lengths(batch.column(1)), _CHARS):
+                n = part.stop - part.start
+                ids = m.encoded(batch.column(1).slice(part.start, n).to_pylist())
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                columns = [batch.column(0).slice(part.start, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+                if decoded:
+                    columns.append(pa.array([m.decode(array("i", x)) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

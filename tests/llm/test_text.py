@@ -288,7 +288,7 @@ def test_unigram_search_is_the_best_path(processor):
                     total = best[begin][0] + (model.scores[model.ids[piece]] if piece in model.ids else model.worst)
                     if end not in best or total > best[end][0]:
                         best[end] = (total, [*best[begin][1], piece])
-        got = list(model.search(text, window=1))
+        got = [text[a:b] for a, b, _ in model.search(text, window=1)]
         score = sum(model.scores[model.ids[p]] if p in model.ids else model.worst for p in got)
         assert "".join(got) == text and score == pytest.approx(best[len(text)][0])
 
@@ -297,6 +297,7 @@ def test_sentencepiece_frames(docs, none):
     model = spm.read_model()
     got = spm.decode(spm.encode(docs, model), model).collect()
     assert sorted(r.decoded for r in got) == sorted(r[1] or "" for r in corpus())
+    assert sorted(map(str, spm.encode(docs, model, decoded=True).collect())) == sorted(map(str, got))
     assert spm.encode(none, model).collect() == []
 
 
