@@ -176,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         done: list[tuple[str, str, int, int]] = []
         sink, count, size = None, 0, 0
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, payload, refers_to = (x.as_py() for x in row)  # one payload at a time
                 if sink is None:
                     name = f"part-{task.partitionId():06d}-{len(done):05d}.warc.gz"
                     temporary = f"{root}/_{task.taskAttemptId()}-{name}"
