@@ -19,17 +19,12 @@ def uniform_sql(purpose: str, *keys: str, seed: int = 42) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', {', '.join(f'({k})::VARCHAR' for k in keys)})), 1, 13))::BIGINT / {_STEPS:.1f})"
 
 
-def poisson(u: Column, rate: Column, most: int = 4096) -> Column:
-    """The Poisson quantile of u: the number of terms whose running sum is at most u. Rates above 600 use the normal limit."""
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).cast("long").alias("n"))
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))))
+def poisson(u: Column, rate: Column) -> Column:
+    """The Poisson quantile of u. Rates above 600 use the normal limit."""
+    from .stats import poisson_quantile_udf
 
-    def step(a: Column, i: Column) -> Column:
-        term = a["term"] * rate / i
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), F.when(a["sum"] <= u, i.cast("long")).otherwise(a["n"]).alias("n"))
-
-    exact = F.aggregate(steps, start, step, lambda a: a["n"])
-    return F.when(rate <= 0, F.lit(0).cast("long")).when(rate <= 600, exact).otherwise(F.greatest(F.lit(0), F.round(rate + F.sqrt(rate) * normal(u))).cast("long"))
+    large = F.greatest(F.lit(0.0), F.round(rate + F.sqrt(rate) * normal(u)))
+    return F.when(rate <= 600, poisson_quantile_udf(u, F.least(rate, F.lit(600.0)))).otherwise(large).cast("long")
 
 
 def normal(u: Column) -> Column:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def poisson_above(x: Column, rate: Column, terms: int = 150) -> Column:
@@ -51,7 +52,7 @@ _QUANTILE = np.vectorize(NormalDist().inv_cdf, otypes=[float])
 
 
 def _udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def run(*columns: pa.Array) -> pa.Array:
         values = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
         ok = ~np.logical_or.reduce([np.isnan(v) for v in values])
@@ -144,6 +145,21 @@ def log_t_below(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(t <= 0, half, np.log1p(-np.exp(half)))
 
 
+def poisson_quantile(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The least k with P(X <= k) > u, for rates up to some hundreds."""
+    term = np.exp(-np.maximum(rate, 0))
+    total, out = term.copy(), np.zeros(len(u))
+    rows, k = np.flatnonzero(total <= u), 0
+    while len(rows) and k < 5000:
+        k += 1
+        term[rows] *= rate[rows] / k
+        total[rows] += term[rows]
+        out[rows] = k
+        rows = rows[(total[rows] <= u[rows]) & (term[rows] > 0)]
+    return out
+
+
+poisson_quantile_udf = _udf(poisson_quantile)
 log_binomial_from_udf = _udf(log_binomial_from)
 binomial_above_udf = _udf(lambda x, n, p: np.exp(log_binomial_from(np.floor(x) + 1, n, p)))
 negative_binomial_above_udf = _udf(negative_binomial_above)
