@@ -57,7 +57,7 @@ def pairwise_enrichment(pairs: DataFrame, test: str = "poisson", lower: bool = F
     elif test == "binom":
         totals = d.agg(F.sum("observed").alias("__o"), F.sum("expected").alias("__e"))
         d = d.crossJoin(F.broadcast(totals))  # one row
-        above = binomial_above_udf(x, F.col("__o"), F.col("expected") / F.col("__e"))
+        above = binomial_above_udf(x, F.col("__o"), F.try_divide("expected", "__e"))
     elif test == "nbinom":
         rows = d.select("observed", "expected").collect()
         theta = dispersion(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])) if rows else None
@@ -65,14 +65,14 @@ def pairwise_enrichment(pairs: DataFrame, test: str = "poisson", lower: bool = F
     elif test == "chisq":
         totals = d.agg(F.sum("observed").alias("__o"), F.sum("expected").alias("__e"))
         d = d.crossJoin(F.broadcast(totals))  # one row
-        share = F.col("expected") / F.col("__e")
+        share = F.try_divide("expected", "__e")
         want = share * F.col("__o")
-        above = chi_square_1_above_udf((F.col("observed") - want) * (F.col("observed") - want) * (1 / want + 1 / (F.col("__o") - want)))
+        above = chi_square_1_above_udf((F.col("observed") - want) * (F.col("observed") - want) * (F.try_divide(F.lit(1.0), want) + F.try_divide(F.lit(1.0), F.col("__o") - want)))
     else:
         raise ValueError(f"no such test: {test}")
     tail = above if test == "chisq" or not lower else 1 - above
     d = d.select(*keys, F.log2((1 + F.col("observed")) / (1 + F.col("expected"))).alias("log2enrich"), F.when(up, F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))).otherwise(1.0).alias("p_value"))
-    return adjusted(d, "p_value", "holm", "FDR").orderBy("p_value", 1 / F.abs("log2enrich"), *keys)
+    return adjusted(d, "p_value", "holm", "FDR").orderBy("p_value", F.desc(F.abs("log2enrich")), *keys)
 
 
 def _fitted(d: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def observed_and_expected(called: DataFrame, expected: DataFrame, theta: float |
     """(combination, observed, expected, deviation, prop_deviation[, prob]): called doublets of each origin against what is expected."""
     observed = called.where(F.col("mostLikelyOrigin").isNotNull()).groupBy(F.col("mostLikelyOrigin").alias("combination")).agg(F.count("*").alias("observed"))
     out = expected.select("combination", "expected").join(observed, "combination", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
-    out = out.withColumn("deviation", F.abs(F.col("expected") - F.col("observed"))).withColumn("prop_deviation", F.col("deviation") / F.sum("expected").over(Window.partitionBy()))
+    out = out.withColumn("deviation", F.abs(F.col("expected") - F.col("observed"))).withColumn("prop_deviation", F.try_divide("deviation", F.sum("expected").over(Window.partitionBy())))
     if theta is not None:
         out = out.withColumn("prob", negative_binomial_density_udf(F.col("observed"), F.col("expected"), F.lit(theta)))
     return out
@@ -96,7 +96,7 @@ def pair_statistics(scored: DataFrame, thresholds: DataFrame | float, rate: floa
     )
     out = expected.join(by_origin, ["sample", "combination"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     out = out.withColumn("deviation", F.abs(F.col("expected") - F.col("observed")))
-    return out.withColumn("prop_deviation", F.col("deviation") / F.sum("expected").over(Window.partitionBy("sample")))
+    return out.withColumn("prop_deviation", F.try_divide("deviation", F.sum("expected").over(Window.partitionBy("sample"))))
 
 
 def most_likely_origins(neighbours: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def most_likely_origins(neighbours: DataFrame, known: DataFrame | None = None) -
     )
     tied = (F.size("ns") > 1) & (F.col("ns")[0] == F.get("ns", F.lit(1)))
     d1, d2 = F.col("near")[0]["d"], F.get("near", F.lit(1))["d"]
-    found = listed.select("cell_id", F.when(tied, F.col("near")[0]["o"]).otherwise(F.col("top.o")).alias("mostLikelyOrigin"), F.when(tied, F.coalesce((d2 - d1) / d1 <= 0.2, F.lit(True))).otherwise(False).alias("originAmbiguous"))
+    found = listed.select("cell_id", F.when(tied, F.col("near")[0]["o"]).otherwise(F.col("top.o")).alias("mostLikelyOrigin"), F.when(tied, F.coalesce(F.try_divide(d2 - d1, d1) <= 0.2, F.lit(True))).otherwise(False).alias("originAmbiguous"))
     out = neighbours.select("cell_id").distinct().join(found, "cell_id", "left").withColumn("originAmbiguous", F.coalesce("originAmbiguous", F.lit(False)))
     if known is not None:
         known = known.where("origin IS NOT NULL").select("cell_id", F.col("origin").alias("__o"))

@@ -69,7 +69,7 @@ def tf_idf(counts: DataFrame, n_cells: int | None = None, scale: float = 10_000)
 
 def z_scores(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
     stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    return df.join(stats, by).withColumn(out, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    return df.join(stats, by).withColumn(out, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
@@ -100,7 +100,7 @@ def cluster_correlation(counts: DataFrame, cells: DataFrame, features: DataFrame
     cross = ranked.join(profile, "feature").groupBy("cell_id", "cluster").agg(F.sum((F.col("r") - F.col("z")) * F.col("x")).alias("d"))
     out = cross.join(mine, "cell_id").join(F.broadcast(moments), "cluster")  # one row for each cluster
     cov = F.col("d") + F.col("z") * F.col("sx") - F.col("sr") * F.col("sx") / m
-    return out.select("cell_id", "cluster", (cov / F.sqrt((F.col("srr") - F.col("sr") * F.col("sr") / m) * (F.col("sxx") - F.col("sx") * F.col("sx") / m))).alias("rho"))
+    return out.select("cell_id", "cluster", F.try_divide(cov, F.sqrt((F.col("srr") - F.col("sr") * F.col("sr") / m) * (F.col("sxx") - F.col("sx") * F.col("sx") / m))).alias("rho"))
 
 
 _LOG_P = _udf(lambda t, df: log_t_below(t, df))
@@ -116,12 +116,12 @@ def pairwise_tests(values: DataFrame, cells: DataFrame) -> DataFrame:
     sums = values.join(cells.select("cell_id", "cluster"), "cell_id").groupBy("cluster", "feature").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
     full = sizes.join(values.select("feature").distinct()).join(sums, ["cluster", "feature"], "left")
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
-    spread = F.greatest(F.lit(0.0), F.coalesce("q", F.lit(0.0)) - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
-    full = full.withColumn("mean", mean).withColumn("v", F.when(F.col("n") > 1, spread) / F.col("n")).select("cluster", "feature", "mean", "v", "n")
+    spread = F.try_divide(F.greatest(F.lit(0.0), F.coalesce("q", F.lit(0.0)) - F.col("n") * F.col("mean") * F.col("mean")), F.col("n") - 1)
+    full = full.withColumn("mean", mean).withColumn("v", spread / F.col("n")).select("cluster", "feature", "mean", "v", "n")
     a, b = full.alias("a"), full.alias("b")
     both = a.join(b, F.expr("a.feature = b.feature AND a.cluster <> b.cluster"))
     va, vb = F.col("a.v"), F.col("b.v")
-    df = (va + vb) * (va + vb) / (va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))
+    df = F.try_divide((va + vb) * (va + vb), F.try_divide(va * va, F.col("a.n") - 1) + F.try_divide(vb * vb, F.col("b.n") - 1))
     both = both.select(F.col("a.cluster").alias("cluster"), F.col("b.cluster").alias("other"), F.col("a.feature").alias("feature"), (F.col("a.mean") - F.col("b.mean")).alias("logFC"), F.sqrt(va + vb).alias("se"), df.alias("df"))
     both = both.withColumn("t", F.when(F.col("se") > 0, F.col("logFC") / F.col("se"))).drop("se")
     from ..functions.stats import log_t_two_sided_udf

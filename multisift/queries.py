@@ -1053,7 +1053,7 @@ def sim2_adjusted_and_resampled(s, d):
 
 @query()
 def sim3_artificial_doublets(s, d):
-    made, origins = simulate.artificial_doublets(counts(s, d), cells(s, d), 600)
+    made, origins = simulate.artificial_doublets(multiplets.checkpointed(counts(s, d)), multiplets.checkpointed(cells(s, d)), 600)
     return made.join(origins, "cell_id").groupBy("cell_id", "origin").agg(F.sum("count").alias("lsizes"))
 
 
@@ -1113,7 +1113,7 @@ def den1_doublet_density(s, d):
 
 @query()
 def clu1_doublet_clusters(s, d):
-    return rounded(doubletclusters.doublet_clusters(counts(s, d), cells(s, d), all_pairs=False))
+    return rounded(doubletclusters.doublet_clusters(multiplets.checkpointed(counts(s, d)), multiplets.checkpointed(cells(s, d)), all_pairs=False))
 
 
 @query(PAIRSTATS + f""", g AS (SELECT combination, sum(observed)::BIGINT o, sum(expected) e FROM s GROUP BY 1), p AS (SELECT combination, log2((1 + o) / (1 + e)) l, CASE WHEN o >= e THEN {stats.poisson_above_sql('o - 1', 'e')} ELSE 1 END p FROM g),
@@ -1190,7 +1190,7 @@ def ml6_fast_clusters(s, d):
 
 @query()
 def ml7_aggregated_features(s, d):
-    return cluster.aggregate_features(counts(s, d), cells(s, d), k=20)[0]
+    return cluster.aggregate_features(multiplets.checkpointed(counts(s, d)), cells(s, d), k=20)[0]
 
 
 @query()
