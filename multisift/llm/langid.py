@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, release
+
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+#: Unseen words whose scores a worker remembers, and words scored at once.
+_MEMO, _STEP = 120_000, 20_000
 
 
 class Model:
@@ -35,11 +38,21 @@ class Model:
             words[word][column[lang]] += count
             for g in set(self._grams(word)):
                 grams[g][column[lang]] += count
-        known = {w: c for w, c in words.items() if c.sum() >= least}
-        self.words = self._logs(known, n)
-        self.grams: dict[str, np.ndarray] = {}
+        tables: list[np.ndarray] = []
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self._add(self.words, tables, {w: c for w, c in words.items() if c.sum() >= least})
         for size in range(1, longest + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == size and (c.sum() >= least or size == 1)}, n)
+            self._add(self.grams, tables, {g: c for g, c in grams.items() if len(g) == size and (c.sum() >= least or size == 1)})
+        self.scores = np.concatenate(tables) if tables else np.zeros((0, n))
+
+    @staticmethod
+    def _add(index: dict[str, int], tables: list[np.ndarray], counts: dict[str, np.ndarray]) -> None:
+        if counts:
+            rows = np.array(list(counts.values()))
+            start = sum(map(len, tables))
+            index |= {k: start + i for i, k in enumerate(counts)}
+            tables.append(np.log((rows + 0.5) / (rows.sum(0) + 0.5 * (len(rows) + 1))))
 
     def _grams(self, word: str) -> Iterator[str]:
         padded = f"^{word}$"
@@ -47,51 +60,45 @@ class Model:
             for i in range(len(padded) - size + 1):
                 yield padded[i : i + size]
 
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-        total = sum(counts.values(), np.zeros(n))
-        return {k: np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))) for k, c in counts.items()}
-
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the word's places of the longest known n-gram that starts there."""
-        padded, out, places = f"^{word}$", np.zeros(max(1, len(self.langs))), 0
+        padded, found = f"^{word}$", []
+        grams = self.grams
         for i in range(len(padded)):
             for size in range(min(self.longest, len(padded) - i), 0, -1):
-                if (found := self.grams.get(padded[i : i + size])) is not None:
-                    out = out + found
-                    places += 1
+                row = grams.get(padded[i : i + size])
+                if row is not None:
+                    found.append(row)
                     break
-        return out / max(1, places)
+        return self.scores[found].mean(0) if found else np.zeros(max(1, len(self.langs)))
 
     def scorer(self):
-        """A function from a text to (language, probability); it remembers the words it has met, up to a bound."""
-        rows: list[np.ndarray] = []
+        """A function from a text to (language, probability); it remembers the scores of unseen words, up to a bound."""
+        known = self.words
+        base = len(self.scores)
         index: dict[str, int] = {}
-        matrix = np.zeros((0, max(1, len(self.langs))))
+        matrix = np.concatenate([self.scores, np.zeros((_MEMO, max(1, len(self.langs))))])
+
+        def row(word: str) -> int:
+            r = known.get(word)
+            if r is None:
+                r = index.get(word)
+                if r is None:
+                    r = index[word] = base + len(index)
+                    matrix[r] = self.backoff(word)
+            return r
 
         def score(text: str | None) -> tuple[str, float]:
-            nonlocal matrix
             found = _LETTERS.findall(text.lower()) if text else []
             if not self.langs or not found or not any(c.isalpha() for c in text):
                 return UNKNOWN, 0.0
-            new = [w for w in set(found) if w not in index]
-            if new:
-                if len(index) > _MEMO:
+            total = np.zeros(len(self.langs))
+            for i in range(0, len(found), _STEP):  # within a step the memory can't overflow
+                if len(index) > _MEMO - _STEP:
                     index.clear()
-                    rows.clear()
-                    matrix = matrix[:0]
-                    new = list(set(found))
-                for w in new:
-                    index[w] = len(rows)
-                    vector = self.words.get(w)
-                    rows.append(self.backoff(w) if vector is None else vector)
-            if len(rows) > len(matrix):
-                grown = np.zeros((max(1024, 2 * len(rows)), matrix.shape[1]))
-                grown[: len(rows)] = rows
-                matrix = grown
-            elif new:
-                matrix[len(rows) - len(new) : len(rows)] = rows[-len(new) :]
-            mean = matrix[np.fromiter(map(index.__getitem__, found), np.int64, len(found))].mean(0)
+                part = found[i : i + _STEP]
+                total += matrix[np.fromiter(map(row, part), np.int64, len(part))].sum(0)
+            mean = total / len(found)
             odds = np.exp((mean - mean.max()) * min(20, len(found)))
             best = int(odds.argmax())
             return self.langs[best], float(odds[best] / odds.sum())
@@ -112,15 +119,15 @@ def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, l
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = defaultdict(int)
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in _LETTERS.findall(text.lower()):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for w in _LETTERS.findall(text.as_py().lower()):
                     seen[lang, w] += 1
                 if len(seen) > _MEMO:
                     yield from _counted(seen)
                     seen.clear()
         yield from _counted(seen)
 
-    counts = docs.where(F.col("h") <= last).select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+    counts = docs.where(F.col("h") <= last).select("text", "lang").mapInArrow(frugal(count), "lang string, word string, n long")
     counts = counts.where("length(word) <= 40").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(most_words)
     return Model([tuple(r) for r in counts.collect()], longest)
 
@@ -146,7 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def only_known(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
@@ -158,7 +165,9 @@ def only_known(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         if not scorers:
             scorers.append(held.value.scorer())
-        return pa.array([p if lang != UNKNOWN else 0.0 for lang, p in map(scorers[0], texts.to_pylist())], pa.float64())
+        out = pa.array([p if lang != UNKNOWN else 0.0 for lang, p in (scorers[0](t.as_py()) for t in texts)], pa.float64())
+        release()
+        return out
 
     return docs.where(score(F.col("text")) >= least)
 

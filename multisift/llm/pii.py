@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, release
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "secret")
 KINDS = BASE + EXTRA
@@ -127,7 +129,7 @@ def detect(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id long, spans {SPANS}")
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -135,7 +137,9 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([redact(t, find(t)) for t in texts.to_pylist()], pa.string())
+        out = pa.array((redact(t, find(t)) for t in (x.as_py() for x in texts)), pa.string())
+        release()
+        return out
 
     out = docs.withColumn(text, clean(F.col(text)))
     if length in docs.columns:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, bucket_of, byte_lengths, chunks, connected_components, group_starts, materialise, mixed, packed, unpacked
+from .common import Text, bucket_of, byte_lengths, chunks, connected_components, frugal, group_starts, materialise, mixed, packed, unpacked
 
 #: Shingles whose bits are counted at once.
 _BLOCK = 100_000
@@ -157,7 +157,7 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
                 fp = fingerprints(texts.slice(part.start, n), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, n), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def fingerprint_links(classes: DataFrame, max_bits: int, buckets: int) -> DataFrame:
@@ -180,7 +180,7 @@ def fingerprint_links(classes: DataFrame, max_bits: int, buckets: int) -> DataFr
         a, b = ring.links(*(np.concatenate([g[k] for g in got]) for k in range(3)))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return classes.select("fp").mapInArrow(send, "bucket long, n long, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return classes.select("fp").mapInArrow(frugal(send), "bucket long, n long, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:

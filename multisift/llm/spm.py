@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, chunks
+from .common import byte_lengths, chunks, frugal
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -385,7 +385,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

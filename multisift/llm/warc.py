@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, materialise
+from .common import ensure_checkpoint_dir, frugal, materialise
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _STEP = 1 << 16
@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
 
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    return materialise(rows.mapInArrow(write, "path string, records long, bytes long"))
+    return materialise(rows.mapInArrow(frugal(write), "path string, records long, bytes long"))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -221,7 +221,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         out, held = [], 0
                 yield _batch(out)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, READ_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(frugal(read), READ_SCHEMA)
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
