@@ -129,7 +129,9 @@ LOCI = """
     seg AS (SELECT *, CASE WHEN lag(np) OVER (PARTITION BY "name", seqname ORDER BY p) = p THEN 0 ELSE 1 END b FROM cv WHERE c >= 3),
     isl AS (SELECT *, sum(b) OVER (PARTITION BY "name", seqname ORDER BY p) i FROM seg),
     loci AS (SELECT "name", seqname, min(p) s, max(np) e, max(c)::BIGINT depth FROM isl GROUP BY "name", seqname, i)"""
-FRAG = "WITH frag AS (SELECT * FROM fragments WHERE e - s <= 1000),"
+#: Events last for days, unlike fragments.
+WIDEST = 10_000_000
+FRAG = f"WITH frag AS (SELECT * FROM fragments WHERE e - s <= {WIDEST}),"
 SITES = """,
     o AS (SELECT *, max(e) OVER (PARTITION BY seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pm FROM loci),
     k AS (SELECT *, sum(CASE WHEN pm IS NULL OR s >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) site FROM o),
@@ -139,7 +141,7 @@ SITES = """,
 
 @query(FRAG + LOCI + ' SELECT "name", seqname, s AS "start", e AS "end", depth FROM loci', "fragments")
 def snk3_overlap_loci(s, d):
-    return intervals.fragment_overlaps(fragments(s, d), least=1, result="loci")
+    return intervals.fragment_overlaps(fragments(s, d), least=1, widest=WIDEST, result="loci")
 
 
 # ---------------------------------------------------------------- projections and filters
@@ -223,10 +225,10 @@ def fil7_unrecognisable_doublets(s, d):
 
 @query(FRAG + LOCI + SITES + ' SELECT "name", k.seqname, k.s AS "start", k.e AS "end" FROM k JOIN bad USING (seqname, site) WHERE p >= 0.01', "fragments")
 def fil8_without_frequent_sites(s, d):
-    return intervals.without_frequent_sites(intervals.fragment_overlaps(fragments(s, d), least=1, result="loci"))[0].select("name", "seqname", "start", "end")
+    return intervals.without_frequent_sites(intervals.fragment_overlaps(fragments(s, d), least=1, widest=WIDEST, result="loci"))[0].select("name", "seqname", "start", "end")
 
 
-@query("SELECT 'dbr' AS argument, 0.1 AS \"value\" UNION ALL SELECT 'mode', 2")
+@query("SELECT 'dbr' AS argument, 0.1::DOUBLE AS \"value\" UNION ALL SELECT 'mode', 2")
 def fil9_checked_arguments(s, d):
     rows = [("dbr", model.proportion(0.1, "dbr")), ("mode", float(("a", "b", "single").index(model.one_of("sing", ("a", "b", "single"), "mode"))))]
     return s.createDataFrame(rows, "argument string, value double")
@@ -370,13 +372,13 @@ def jn14_joined_comparisons(s, d):
     return j.groupBy(F.col("x.c").alias("query"), F.col("y.c").alias("source1"), F.col("z.c").alias("source2")).agg(F.count("*").alias("n"))
 
 
-SUMMED = """WITH nm AS (SELECT DISTINCT "name" n FROM fragments), p AS (SELECT a.n || '+' || b.n pair, a.n n1, b.n n2 FROM nm a JOIN nm b ON b.n::BIGINT = a.n::BIGINT + 1),
-    frag AS (SELECT pair "name", seqname, s, e FROM fragments f JOIN p ON f."name" IN (n1, n2) WHERE e - s <= 1000),"""
+SUMMED = f"""WITH nm AS (SELECT DISTINCT "name" n FROM fragments), p AS (SELECT a.n || '+' || b.n pair, a.n n1, b.n n2 FROM nm a JOIN nm b ON b.n::BIGINT = a.n::BIGINT + 1),
+    frag AS (SELECT pair "name", seqname, s, e FROM fragments f JOIN p ON f."name" IN (n1, n2) WHERE e - s <= {WIDEST}),"""
 
 
 @query(SUMMED + LOCI + ' SELECT "name" pair, seqname, s AS "start", e AS "end", depth FROM loci', "fragments")
 def jn15_summed_coverage(s, d):
-    f = intervals.narrow(fragments(s, d))
+    f = intervals.narrow(fragments(s, d), WIDEST)
     n = f.select("name").distinct()
     pairs = n.select(F.col("name").alias("name1"), (F.col("name").cast("long") + 1).cast("string").alias("name2")).join(n.withColumnRenamed("name", "name2"), "name2", "left_semi")
     pairs = pairs.select(F.concat_ws("+", "name1", "name2").alias("pair"), "name1", "name2")
@@ -478,7 +480,7 @@ RATES = """, a AS (SELECT count(*) FILTER (src = 'real') r, count(*) FILTER ("ty
     SELECT threshold, round("FNR", 6) "FNR", round("FDR", 6) "FDR", round("FPR", 6) "FPR", round(dev, 6) dev, round(dev * dev + "FNR" + "FPR", 6) cost FROM z"""
 
 
-@query("WITH t AS (SELECT unnest([0.25, 0.5, 0.75]) t)" + RATES, "scored")
+@query("WITH t AS (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE t)" + RATES, "scored")
 def agg14_error_rates(s, d):
     return rounded(threshold.sweep(scored(s, d), 0.1, 0.04, grid=[0.25, 0.5, 0.75]))
 
@@ -874,23 +876,23 @@ def int3_merged_within_gap(s, d):
 
 @query(FRAG + LOCI + SITES + ' SELECT seqname, s AS "start", e AS "end", n FROM bad WHERE p < 0.01', "fragments")
 def int4_frequent_sites(s, d):
-    return intervals.without_frequent_sites(intervals.fragment_overlaps(fragments(s, d), least=1, result="loci"))[1].select("seqname", "start", "end", "n")
+    return intervals.without_frequent_sites(intervals.fragment_overlaps(fragments(s, d), least=1, widest=WIDEST, result="loci"))[1].select("seqname", "start", "end", "n")
 
 
-OVERLAPS = """WITH f0 AS (SELECT * FROM fragments f WHERE e - s <= 1000 AND NOT EXISTS (SELECT 1 FROM exclusion x WHERE x.seqname = f.seqname AND f.s < x.e AND x.s < f.e)),
+OVERLAPS = f"""WITH f0 AS (SELECT * FROM fragments f WHERE e - s <= {WIDEST} AND NOT EXISTS (SELECT 1 FROM exclusion x WHERE x.seqname = f.seqname AND f.s < x.e AND x.s < f.e)),
     nm AS (SELECT "name", count(*) u FROM f0 GROUP BY 1 HAVING count(*) >= 20), frag AS (SELECT f0.* FROM f0 JOIN nm USING ("name")),""" + LOCI + SITES + """,
     st AS (SELECT nm."name", u "nFrags", u "uniqFrags", (SELECT count(*) FROM k JOIN bad USING (seqname, site) WHERE k."name" = nm."name" AND p >= 0.01) "nAbove2", (SELECT count(*) FROM loci WHERE loci."name" = nm."name") "total_nAbove2" FROM nm)"""
 
 
 @query(OVERLAPS + ' SELECT * FROM st', "fragments exclusion")
 def int5_fragment_overlaps(s, d):
-    return intervals.fragment_overlaps(fragments(s, d), exclude=exclusion(s), least=20)
+    return intervals.fragment_overlaps(fragments(s, d), exclude=exclusion(s), least=20, widest=WIDEST)
 
 
 @query(OVERLAPS + f""", pv AS (SELECT *, {stats.poisson_above_sql('"nAbove2"', 'm')} p FROM (SELECT *, avg("nAbove2") OVER () m FROM st)), r AS (SELECT *, row_number() OVER (ORDER BY p, "name") rn, count(*) OVER () n FROM pv)
     SELECT "name", "nFrags", "uniqFrags", "nAbove2", "total_nAbove2", round(p, 8) p_value, round(least(1.0::DOUBLE, min(p * n / rn) OVER (ORDER BY p DESC, rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) q_value FROM r""", "fragments exclusion")
 def int6_amulet(s, d):
-    return rounded(atac.amulet(fragments(s, d), exclude=exclusion(s), least=20), 8)
+    return rounded(atac.amulet(fragments(s, d), exclude=exclusion(s), least=20, widest=WIDEST), 8)
 
 
 @query(f"""WITH a AS (SELECT * FROM counts WHERE "count" > 2), k AS (SELECT feature, count(*) FILTER ("count" > 2) k FROM counts GROUP BY 1), p AS (SELECT *, {stats.poisson_above_sql('k', 'm')} p FROM (SELECT *, avg(k) OVER () m FROM k)),
@@ -930,13 +932,13 @@ def int10_doublet_loci(s, d):
 
 @query(FRAG + LOCI + ' SELECT "name", count(*) n, sum(e - s)::BIGINT width FROM loci GROUP BY "name"', "fragments")
 def int11_loci_by_cell(s, d):
-    loci = intervals.deep_runs(intervals.coverage(intervals.narrow(fragments(s, d))), 3)
+    loci = intervals.deep_runs(intervals.coverage(intervals.narrow(fragments(s, d), WIDEST)), 3)
     return loci.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("width"))
 
 
 @query(FRAG + LOCI + ' SELECT "name", seqname, s AS "start", e AS "end" FROM loci WHERE NOT EXISTS (SELECT 1 FROM exclusion x WHERE x.seqname = loci.seqname AND loci.s < x.e AND x.s < loci.e)', "fragments exclusion")
 def int12_loci_outside_regions(s, d):
-    loci = intervals.deep_runs(intervals.coverage(intervals.narrow(fragments(s, d))), 3)
+    loci = intervals.deep_runs(intervals.coverage(intervals.narrow(fragments(s, d), WIDEST)), 3)
     return intervals.outside(loci, exclusion(s)).select("name", "seqname", "start", "end")
 
 
@@ -1220,7 +1222,7 @@ def main2_direct_classification(s, d):
 
 @query()
 def main3_clamulet(s, d):
-    return atac.clamulet(fragments(s, d), n_artificial=300, least=20, min_count=3)
+    return atac.clamulet(multiplets.checkpointed(fragments(s, d)), n_artificial=300, least=20, min_count=3, widest=WIDEST)
 
 
 @query("SELECT 'k' AS \"what\", unnest([3, 10, 15, 20, 25]) \"value\" UNION ALL SELECT 'given', unnest([3, 50])")
