@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import checkpointed
+
 
 def poisson_above(x: Column, rate: Column, terms: int = 150) -> Column:
     """P(X > x) of a Poisson variable: from x + 1 upwards where that tail is the small one, else one less the sum up to x.
@@ -187,7 +189,7 @@ def adjusted(df: DataFrame, p: str, method: str, out: str, by: list[str] | None
     number of tests. With log, p and the result are natural logarithms.
     """
     by = by or []
-    counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__n"))
+    counts = checkpointed(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__n")))
     cuts = F.array_sort(F.array_distinct(F.percentile_approx(p, [k / parts for k in range(1, parts)])))
     bounds = counts.groupBy(*by).agg(cuts.alias("__cuts"), F.sum("__n").alias("__all"))
     same = _same(by)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import inspect
 import re
+import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -42,6 +43,14 @@ class Experiment:
         return self.with_(counts=self.counts.join(ids, "cell_id", "left_semi"), cells=self.cells.join(ids, "cell_id", "left_semi"), pca=self.pca and self.pca.join(ids, "cell_id", "left_semi"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Runs the plan once and cuts its lineage, in the folder the session names or else in a local one."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multisift-"))
+    return df.checkpoint(eager=True)
+
+
 def check_counts(counts: DataFrame) -> DataFrame:
     """The counts as (cell_id, feature, count) without zeros and nulls; raises if a column is missing or a count is negative."""
     missing = {"cell_id", "feature", "count"} - set(counts.columns)

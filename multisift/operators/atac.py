@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted, poisson_above
+from ..model import checkpointed
 from .cluster import aggregate_features
 from .intervals import coverage, covered_windows, deep_runs, fragment_overlaps, frequent_barcodes, narrow, outside, summed_coverage, window_coverage
 from .neighbors import nearest
@@ -15,6 +16,7 @@ from .simulate import random_pairs
 
 def poisson_calls(stats: DataFrame, value: str = "nAbove2") -> DataFrame:
     """Adds p_value, the Poisson tail above the value at the mean of all, and q_value (Benjamini-Hochberg)."""
+    stats = checkpointed(stats)
     mean = stats.agg(F.avg(value).alias("__m"))
     out = stats.crossJoin(F.broadcast(mean)).withColumn("p_value", poisson_above(F.col(value), F.col("__m"))).drop("__m")  # one row
     return adjusted(out, "p_value", "bh", "q_value")
@@ -34,6 +36,7 @@ def amulet_from_counts(counts: DataFrame, cells: DataFrame, features: DataFrame
     above = counts.where("count > 2")
     n = counts.select("feature").distinct()
     rows = n.join(above.groupBy("feature").agg(F.count("*").alias("k")), "feature", "left").select("feature", F.coalesce("k", F.lit(0)).alias("k"))
+    rows = checkpointed(rows)
     mean = rows.agg(F.avg("k").alias("__m"))
     rows = rows.crossJoin(F.broadcast(mean)).withColumn("p", poisson_above(F.col("k"), F.col("__m")))  # one row
     kept = adjusted(rows.select("feature", "p"), "p", "holm", "adj").where("adj > 0.01")

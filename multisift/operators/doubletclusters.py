@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted
+from ..model import checkpointed
 from .matrix import log_normalised, pairwise_tests, size_factors
 
 
@@ -20,7 +21,7 @@ def source_pairs(tests: DataFrame, threshold: float = 0.05) -> DataFrame:
     log_p = F.when(F.signum("a.logFC") != F.signum("b.logFC"), 0.0).otherwise(F.greatest("a.log_p", "b.log_p"))
     both = both.select(F.col("a.cluster").alias("cluster"), F.col("a.other").alias("source1"), F.col("b.other").alias("source2"), F.col("a.feature").alias("feature"), log_p.alias("log_p"))
     keys = ["cluster", "source1", "source2"]
-    both = adjusted(both, "log_p", "bh", "adj", keys, log=True)
+    both = adjusted(checkpointed(both), "log_p", "bh", "adj", keys, log=True)
     return both.groupBy(*keys).agg(F.count_if(F.exp("adj") <= threshold).alias("num_de"), F.min(F.struct("log_p", "feature", "adj")).alias("top")).select(*keys, "num_de", F.col("top.feature").alias("best"), F.exp("top.adj").alias("p_value"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted, binomial_above_udf, chi_square_1_above_udf, log_negative_binomial, log_t_two_sided, negative_binomial_above_udf, poisson_above
+from ..model import checkpointed
 
 
 def dispersion(observed: np.ndarray, expected: np.ndarray) -> float | None:
@@ -72,7 +73,7 @@ def pairwise_enrichment(pairs: DataFrame, test: str = "poisson", lower: bool = F
         raise ValueError(f"no such test: {test}")
     tail = above if test == "chisq" or not lower else 1 - above
     d = d.select(*keys, F.log2((1 + F.col("observed")) / (1 + F.col("expected"))).alias("log2enrich"), F.when(up, F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))).otherwise(1.0).alias("p_value"))
-    return adjusted(d, "p_value", "holm", "FDR").orderBy("p_value", F.desc(F.abs("log2enrich")), *keys)
+    return adjusted(checkpointed(d), "p_value", "holm", "FDR").orderBy("p_value", F.desc(F.abs("log2enrich")), *keys)
 
 
 def _fitted(d: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import poisson_above
+from ..model import checkpointed
 
 CUT = 1 << 22
 
@@ -125,6 +126,7 @@ def fragment_overlaps(
     loci = deep_runs(cov, depth)
     if result == "loci":
         return loci
+    loci, barcodes = checkpointed(loci), checkpointed(barcodes)  # each read several times below
     rest = without_frequent_sites(loci)[0] if drop_frequent else loci
     total = loci.groupBy("name").agg(F.count("*").alias("total_nAbove2"))
     above = rest.groupBy("name").agg(F.count("*").alias("nAbove2"))
