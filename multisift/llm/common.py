@@ -221,6 +221,9 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+_SALTS = 16
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
@@ -259,8 +262,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         before = tuple(found)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        # a node with very many neighbours is as many keys as there are salts
+        salted = both.where("y > x").withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(_SALTS)).cast("int"))
+        large = salted.join(least, ["x", "salt"]).select(F.col("y").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         top = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(top, "u").where("v > m").select("v", "m").union(top.select("u", "m")).distinct()
         e = materialise(small.toDF("u", "v"))
