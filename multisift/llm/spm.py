@@ -87,7 +87,8 @@ class Table:
         return out
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds keys that are not in the map and differ from each other."""
+        """Adds keys that are not in the map and differ from each other; of more than fill half of it, the first."""
+        keys, values = keys[: 1 << self.bits - 1], values[: 1 << self.bits - 1]
         if 2 * (self.used + len(keys)) > 1 << self.bits:
             self.clear()
         self.used += len(keys)
@@ -270,8 +271,10 @@ class Model:
                     found = pairs.get(key)
                     new = np.unique(key[found < 0])
                     if len(new):
-                        pairs.put(new, np.array([self.stays((k >> 16) - 1, k & 0xFFFF) for k in new.tolist()], np.int64))
-                        found = pairs.get(key)
+                        # put() may clear the map, so the answers found before are kept
+                        values = np.array([self.stays((k >> 16) - 1, k & 0xFFFF) for k in new.tolist()], np.int64)
+                        pairs.put(new, values)
+                        found[found < 0] = values[np.searchsorted(new, key[found < 0])]
                     ask = ask[found == 1]
                     last[rows[ask], end + 1], begins[rows[ask], end + 1] = i[ask], begin
         # back from every run's end

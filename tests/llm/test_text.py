@@ -274,6 +274,17 @@ def test_sentencepiece_ids(processor):
     assert model.encode(None) == [] and model.decode([99_999_999, None, 1]) == "" and model.decode([3 + 0xFF]) == "�"
 
 
+def test_sentencepiece_ids_with_a_full_pair_map(processor, monkeypatch):
+    """The map of pairs is cleared over and over; at last a single step brings more new pairs than it holds."""
+    monkeypatch.setattr(spm, "_PAIRS", 4)
+    model, rng = spm.Model(spm.read_model()), random.Random(4)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 12))) for _ in range(40)) for _ in range(200)]
+    for part in [texts[a : a + 5] for a in range(0, 200, 5)] + [texts]:
+        for t, ids in zip(part, model.encoded(part)):
+            ids = memoryview(ids).cast("i").tolist()
+            assert ids == processor.encode(t) and model.decode(ids) == t
+
+
 def test_unigram_search_is_the_best_path(processor):
     """The same file read as a unigram model; the streaming search against one that keeps everything."""
     model, rng = spm.Model(spm.read_model()), random.Random(2)
