@@ -27,6 +27,16 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an IBAN by country, from the registry of ISO 13616.
+_IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,64}(?![A-Za-z0-9])")
 _CONTEXT = {
@@ -56,6 +66,24 @@ def mod97(iban: str) -> bool:
     return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """What the expression proposes may run on into the next words. The end is that of the country's length, else the whole, else (for
+    countries outside the registry) the farthest end of a word, whichever has the checksum; the search resumes behind it, or one character on."""
+    m = _IBAN.search(text)
+    while m:
+        found, done = m.group(), m.start() + 1
+        ends = [len(found), *(k for k in range(len(found) - 1, 0, -1) if found[k] == " ")]
+        length = _IBAN_LENGTH.get(found[:2])
+        if length:
+            ends = [k for k in ends if k - found.count(" ", 0, k) == length] + ends[:1]
+        for k in ends:
+            if mod97(found[:k]):
+                done = m.start() + k
+                yield m.start(), done
+                break
+        m = _IBAN.search(text, done)
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -89,16 +117,14 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append(("phone", m.start(), m.end(), 1.0))
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("secret", _SECRET)):
-        for m in pattern.finditer(text):
-            if kind == "iban" and not mod97(m.group()):
-                continue
-            if kind == "secret" and (m.group().isdigit() or not any(c.isdigit() for c in m.group())):
+    for kind, spans in (("iban", ibans(text)), ("ssn", map(re.Match.span, _SSN.finditer(text))), ("secret", map(re.Match.span, _SECRET.finditer(text)))):
+        for a, b in spans:
+            if kind == "secret" and (text[a:b].isdigit() or not any(c.isdigit() for c in text[a:b])):
                 continue
-            near = _CONTEXT[kind].search(text, max(0, m.start() - NEAR), m.start())
+            near = _CONTEXT[kind].search(text, max(0, a - NEAR), a)
             score = _PRIOR[kind] + _BOOST * bool(near)
             if score >= THRESHOLD:
-                out.append((kind, m.start(), m.end(), round(score, 3)))
+                out.append((kind, a, b, round(score, 3)))
     return out
 
 

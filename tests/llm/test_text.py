@@ -176,6 +176,23 @@ def test_pii_base_kinds():
     assert not pii.mod97("DE89370400440532013001") and pii.mod97("GB82WEST12345698765432")
 
 
+@pytest.mark.parametrize("iban", ["AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("behind", ["", " BIC", " I paid", " EUR", " 2024", " ABCD 1234 EFGH", " BE68539007547034", ", then"])
+def test_ibans_before_words_and_numbers(iban, behind):
+    for before in ("", "pay ", "AB12 CDEF GHIJ "):
+        spans = [(a, b) for kind, a, b, _ in pii.find(before + iban + behind) if kind == "iban"]
+        expected = [(len(before), len(before) + len(iban))]
+        if "BE68" in behind:
+            expected.append((expected[0][1] + 1, expected[0][1] + len(behind)))
+        assert spans == expected
+
+
+def test_ibans_of_other_countries_and_long_runs():
+    text = next(f"QQ{c:02}19043002 ABCD" for c in range(2, 99) if pii.mod97(f"QQ{c:02}190430021904"[:16]) or pii.mod97(f"QQ{c:02}19043002ABCD"))
+    assert [s[1:3] for s in pii.find(text) if s[0] == "iban"] == [(0, len(text))]
+    assert not [s for s in pii.find("AA11 " * 20_000) if s[0] == "iban" and s[2] - s[1] > 43]
+
+
 def test_pii_frames(spark, docs, none):
     rows = [(i, t, "en", "s", len(t), "b", "c", "d", "e", "f") for i, t in enumerate(CASES)]
     frame = spark.createDataFrame([*rows, *rows[:2]], SCHEMA)
