@@ -36,9 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids and ids of each document, with whether decoding gives the text back."""
+    """doc_id, n_ids and ids of each document, with same_text: whether decoding gives the stage's input text back (null for a null text)."""
     model = spm.read_model()
-    return spm.encode(docs, model).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    return spm.encode(docs, model, compared=True).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "same_text")
 
 
 STAGES = [

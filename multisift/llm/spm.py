@@ -368,10 +368,10 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
-    """doc_id and ids of every row's whole text, and with `decoded` also what the ids give back.
+def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool = False) -> DataFrame:
+    """doc_id and ids of every row's whole text, with `decoded` also what the ids give back, and with `compared` whether that is the text.
 
-    Null and empty texts have no ids. Repeated rows give repeated rows, a null doc_id is carried along, other columns are left out.
+    Null and empty texts have no ids; a null text has no comparison. Repeated rows give repeated rows, a null doc_id is carried along, other columns are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -385,9 +385,14 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
                 columns = [batch.column(0).slice(part.start, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
                 if decoded:
                     columns.append(pa.array([m.decode(array("i", x)) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
-
-    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+                if compared:
+                    texts = batch.column(1).slice(part.start, n)
+                    back = columns[2].to_pylist() if decoded else (m.decode(array("i", x)) for x in ids)
+                    columns.append(pa.array([None if t is None else b == t for t, b in zip(texts.to_pylist(), back, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "ids", *["decoded"] * decoded, *["same_text"] * compared]
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded + ", same_text boolean" * compared
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 

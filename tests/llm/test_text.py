@@ -329,6 +329,18 @@ def test_sentencepiece_frames(docs, none):
     assert spm.encode(none, model).collect() == []
 
 
+def test_last_stage_tells_whether_texts_come_back(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a plain text"), (2, "marks ▁ become spaces"), (3, ""), (4, None), (5, "\u00e9\n\t \U0001f600")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.same_text for r in corpus_pipeline.tokenise(spark, frame, "").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: None, 5: True}
+    both = spm.encode(frame, spm.read_model(), decoded=True, compared=True)
+    assert both.columns == ["doc_id", "ids", "decoded", "same_text"]
+    assert {r.doc_id: r.same_text for r in both.collect()} == got
+
+
 def test_pipeline_matches_its_stages_by_hand(spark, sf, processor):
     """run() against the same decisions made one by one over Python lists."""
     import corpus_pipeline
