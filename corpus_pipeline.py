@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multisift.llm import langid, mixing, pii, simhash, spm
+from multisift.llm import langid, mixing, pii, similar, spm
 from multisift.llm.common import ensure_checkpoint_dir, table
 
 
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose five-word SimHash fingerprints are at most 6 of 64 bits apart (over 90 % alike)."""
-    return simhash.keep_one(docs, words=5, max_bits=6)
+    """Keeps one document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more; SimHash and minima of hashes propose."""
+    return similar.keep_similar(docs, words=5, least=0.8, max_bits=6)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

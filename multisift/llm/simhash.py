@@ -212,6 +212,11 @@ def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6) -> DataFrame:
     """
     groups = near_duplicates(docs, words, max_bits)
     kept = materialise(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows")))
+    return rows_of(docs, kept)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of kept(__kept_id, __rows), one row each where there are several, and those without a doc_id."""
 
     def of(condition: str) -> DataFrame:
         return docs.join(kept.where(condition).select("__kept_id"), F.col("doc_id") == F.col("__kept_id"), "left_semi")

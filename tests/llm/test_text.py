@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from multisift.llm import langid, mixing, pii, quality, queries, simhash, spm, substring_dedup
+from multisift.llm import langid, mixing, pii, quality, queries, simhash, similar, spm, substring_dedup
 from multisift.llm.common import Text, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,64 @@ def test_ring_finds_every_link(spark, max_bits):
     assert groups(x, lambda a, b: b in near[a]) == expected
 
 
+def brute_shingles(text, width=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(edits, n=60, seed=1):
+    """Texts and copies of them with some words changed, between and outside the similarity of 0.8."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), max(1, round(edits * len(copy)))):
+            copy[at] = f"X{rng.randrange(5000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy).upper())]
+    return rows
+
+
+def test_similar_documents_are_found(spark, docs, none):
+    """Planted copies at similarities from 0.6 to 1, against all pairs; most of those at 0.8 to 0.9 are more than 6 bits apart."""
+    rows = [(i + 1000 * k, t) for k, edits in enumerate((0.003, 0.01, 0.016, 0.02, 0.03, 0.05)) for i, t in planted(edits, seed=k)]
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, rows[0][1]), (9004, "three short words"), (9005, "Three short  words"), (9006, "other short words")]
+    sets = [brute_shingles(t) for _, t in rows]
+    of = groups(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    near = [(jaccard(sets[k], sets[k + 1]), k) for k in range(0, 720, 2)]
+    assert sum(0.8 <= s < 0.9 for s, _ in near) > 40 and sum(s < 0.8 for s, _ in near) > 40
+    expected = sorted(min(i for (i, _), g in zip(rows, of) if g == h) for h in set(of))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in similar.keep_similar(frame).collect()) == expected
+    assert similar.keep_similar(none).collect() == []
+    ids = [r.doc_id for r in similar.keep_similar(docs).collect()]
+    assert sum(i is None for i in ids) == 2 and len(set(ids)) == len(ids) - 1
+
+
+def test_near_dedup_stage_keeps_one_of_similar_documents(spark, sf):
+    import corpus_pipeline
+
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, brute_shingles(r.text)) for r in frame.collect()]
+    of = groups([s for _, s in rows], lambda a, b: jaccard(a, b) >= 0.8)
+    expected = sorted(min(i for (i, _), g in zip(rows, of) if g == h) for h in set(of))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, sf).collect()) == expected
+
+
+def test_bands_propose_copies_at_the_limit():
+    """Share of planted pairs with similarities from 0.8 to 0.85 that share a band."""
+    found = []
+    for seed in range(30):
+        rows = planted(0.02, 100, seed)
+        sets = [brute_shingles(t) for _, t in rows]
+        keys = similar.band_keys(*similar.shingle_sets(pa.array([t for _, t in rows]), 5))
+        found += [(keys[k] == keys[k + 1]).any() for k in range(0, 200, 2) if 0.8 <= jaccard(sets[k], sets[k + 1]) < 0.85]
+    assert len(found) > 700 and sum(found) >= 0.998 * len(found)
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(None, 5), (7, 7)]
