@@ -1109,8 +1109,7 @@ def den1_density_on_coordinates(s, d):
 
 @query()
 def den1_doublet_density(s, d):
-    e = mock.mock_experiment(s, (80, 80, 60), 60)
-    return density.doublet_density(e.counts, e.cells, 20, 10, 2000)
+    return density.doublet_density(multiplets.checkpointed(counts(s, d)), multiplets.checkpointed(cells(s, d)), 20, 10)
 
 
 @query()
@@ -1186,8 +1185,7 @@ def ml5_k_means(s, d):
 
 @query()
 def ml6_fast_clusters(s, d):
-    e = mock.mock_experiment(s, (100, 120, 80), 80)
-    return cluster.fast_clusters(e.counts, e.cells, n_features=80)
+    return cluster.fast_clusters(multiplets.checkpointed(counts(s, d)), multiplets.checkpointed(cells(s, d)), n_features=80)
 
 
 @query()

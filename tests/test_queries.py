@@ -45,6 +45,12 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["den1_doublet_density", "ml6_fast_clusters"])
+def test_runs_over_the_whole_tables(spark, sf, name):
+    got = [r.cell_id for r in QUERIES[name](spark, sf).select("cell_id").collect()]
+    assert sorted(got) == sorted(r.cell_id for r in core.cells(spark, sf).select("cell_id").collect())
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry
 
