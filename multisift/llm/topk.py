@@ -1,35 +1,48 @@
 """Exact top-k inner products with a KD-tree for each shard.
 
-Rows are cut into shards and the queries into blocks; every cell of that grid is one group of bounded size. A cell's tree splits at
-medians of the widest dimension and keeps the tight box of every node. A query walks it best first, by the largest inner
-product a box allows, and stops once that is below its kth score. Each block visits one shard first; the kth scores found
-there are handed to all its other cells as the bound to beat.
+Rows are cut into shards of bounded size, and a tree is built once in a visit for each: it splits at medians of the widest dimension and keeps
+the tight box of every node. Queries are sent to the shards and stream past the tree. A query walks it best first, by the largest inner
+product a box allows, and stops once that is below its kth score. Each query visits one shard first; the kth score found there goes
+with it to all others as the bound to beat.
+
+A shard and its queries are neighbours in one sorted partition, rows first, so a task holds one shard and one batch of queries at a time.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
+
+_SCHEMA = pa.schema([("rid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = "rid long, query_id long, vec_id long, score long"
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+#: Inner products below this are whole numbers that doubles hold exactly.
+_EXACT = 2.0**53
 
-#: Larger components could leave the range of a long score.
-LARGEST = 1 << 26
-_FOUND = "query_id long, vec_id long, score long"
-_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_NONE = np.iinfo(np.int64).min
+
+def products(x: np.ndarray, q: np.ndarray, wide: bool) -> list[int]:
+    """Inner products of rows of whole doubles with a query; if wide in Python's integers, and one beyond a long is that range's end."""
+    if not wide:
+        return (x @ q).astype(np.int64).tolist()
+    whole = [int(v) for v in q.tolist()]
+    return [min(max(sum(int(v) * w for v, w in zip(row, whole, strict=True)), _LEAST), _MOST) for row in x.tolist()]
 
 
 class Tree:
-    """Integer vectors (rows sorted into leaves) under nodes with tight boxes."""
+    """Vectors of whole doubles (rows sorted into leaves) under nodes with tight boxes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = 128):
-        self.ids, self.x = ids, x
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, leaf: int = 128):
+        self.x = x
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.rows: list[tuple[int, int]] = []
@@ -47,7 +60,9 @@ class Tree:
             left, right = self._node(order, a, a + middle), self._node(order, a + middle, b)
             self.children[node] = (left, right)
             todo += [(a, a + middle, left), (a + middle, b, right)]
-        self.ids, self.x = ids[order], x[order]
+        self.rids, self.ids, self.x = rids[order], ids[order], x[order]
+        self.corners = np.concatenate([self.high, self.low], 1)
+        self.largest = x.shape[1] * float(np.abs(x).max(initial=0))
 
     def _node(self, order: np.ndarray, a: int, b: int) -> int:
         x = self.x[order[a:b]]
@@ -57,28 +72,27 @@ class Tree:
         self.children.append(None)
         return len(self.rows) - 1
 
-    def best(self, query_id: int, q: np.ndarray, k: int, bound: int) -> list[tuple[int, int]]:
-        """Up to k (score, -vec_id) with scores of at least `bound`, other than the query's own; ties go to smaller ids."""
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        top = [(int(-(up @ self.high[0] + down @ self.low[0])), 0)]
+    def best(self, rid: int, q: np.ndarray, k: int, bound: int) -> list[tuple[int, int]]:
+        """Up to k (score, -vec_id) with scores of at least `bound`, of rows other than the query's own; ties go to smaller ids."""
+        wide = self.largest * float(np.abs(q).max(initial=0)) >= _EXACT
+        most = products(self.corners, np.concatenate([np.maximum(q, 0), np.minimum(q, 0)]), wide)  # what each box allows
+        top = [(-most[0], 0)]
         found: list[tuple[int, int]] = []  # a heap, its worst first
         while top:
-            most, node = heapq.heappop(top)
-            if -most < bound:
+            allowed, node = heapq.heappop(top)
+            if -allowed < bound:
                 break
             children = self.children[node]
             if children:
                 for c in children:
-                    most = int(up @ self.high[c] + down @ self.low[c])
-                    if most >= bound:
-                        heapq.heappush(top, (-most, c))
+                    if most[c] >= bound:
+                        heapq.heappush(top, (-most[c], c))
                 continue
             a, b = self.rows[node]
-            scores = self.x[a:b] @ q
-            for i in np.flatnonzero(scores >= bound).tolist():
-                item = (int(scores[i]), -int(self.ids[a + i]))
-                if -item[1] == query_id or item[0] < bound:
+            for i, score in enumerate(products(self.x[a:b], q, wide), a):
+                if score < bound or self.rids[i] == rid:
                     continue
+                item = (score, -int(self.ids[i]))
                 if len(found) < k:
                     heapq.heappush(found, item)
                 else:
@@ -88,53 +102,63 @@ class Tree:
         return found
 
 
-def top_k(vectors: DataFrame, queries_where: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, shard_rows: int = 8192, block_queries: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries_where: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, shard_values: int = 1 << 20) -> DataFrame:
     """The k rows with the highest inner products for each query row, after components x become floor(scale * x).
 
     Takes vec_id and embedding; queries_where says which rows are queries. Returns query_id, rank, vec_id and score; ties go to the
     smaller vec_id.
 
-    Rows with a null vec_id, and vectors that are null or empty, or hold a null, a component that isn't finite or one beyond
-    2**26 after scaling, take no part. Only vectors of the query's length are compared. Rows that repeat a vec_id count
-    once, with the least vector. With fewer than k candidates all are returned. Other columns are left out.
+    Rows with a null vec_id, and vectors that are null or empty, or hold a null or a component that isn't finite, take no part. Only
+    vectors of the query's length are compared. Rows that repeat a vec_id are rows of their own: each is a candidate of the others, and
+    as queries each gets its own ranks. Scores are exact; one beyond the range of a long counts as that range's end. With fewer than
+    k candidates all are returned; an empty table gives an empty frame. Other columns are left out, whatever their names.
     """
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= LARGEST / scale))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine)
-    rows = rows.select("vec_id", whole.cast("array<long>").alias("x")).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    rows = materialise(rows)
-    n = {r[0]: (r[1], r[2]) for r in rows.groupBy("dim").agg(F.count("*"), F.count_if(F.expr(queries_where))).collect()}  # by vector length
-    shards = {d: max(1, math.ceil(a / shard_rows)) for d, (a, _) in n.items()}
-    blocks = {d: max(1, math.ceil(q / block_queries)) for d, (_, q) in n.items()}
-
-    def per_dim(values: dict[int, int]):
-        return F.coalesce(F.create_map(*[F.lit(x) for p in values.items() for x in p])[F.col("dim")], F.lit(1)) if values else F.lit(1)
-
-    shard, block = F.pmod(F.xxhash64("vec_id"), per_dim(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), per_dim(blocks))
-    asked = rows.where(queries_where).withColumn("block", block).withColumn("home", F.pmod("block", per_dim(shards)))
-    candidates = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), per_dim(blocks) - 1)))
-    held = candidates.select("dim", "shard", "block", "vec_id", "x").groupBy("dim", "shard", "block")
-
-    def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if rows.num_rows and queries.num_rows:
-            tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("x")))
-            for query_id, q, bound in zip(queries.column("q_vec_id").to_pylist(), _matrix(queries.column("q_x")), queries.column("q_bound").to_pylist(), strict=True):
-                out += [(query_id, -v, s) for s, v in tree.best(query_id, q, k, _NONE if bound is None else bound)]
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=_SCHEMA)
+    largest = float(np.finfo(np.float64).max)
+
+    def floor(x):  # as a double, also where that is no long
+        y = F.greatest(F.least(x.cast("double") * scale, F.lit(largest)), F.lit(-largest))
+        return F.rint(y) - F.when(F.rint(y) > y, 1.0).otherwise(0.0)
+
+    whole = F.transform("embedding", floor)
+    rows = materialise(rows.select("vec_id", whole.alias("x"), F.monotonically_increasing_id().alias("rid"), F.expr(queries_where).alias("asks")).withColumn("dim", F.size("x").cast("long")))
+    shards = {d: max(1, math.ceil(n * d / shard_values)) for d, n in rows.groupBy("dim").count().collect()}  # a row for each vector length
+    n_shards = (F.create_map(*[F.lit(x) for p in shards.items() for x in p])[F.col("dim")] if shards else F.lit(1)).cast("long")
+    held = rows.select("dim", F.pmod(F.xxhash64("rid"), n_shards).alias("shard"), F.lit(0).alias("turn"), "rid", "vec_id", "x", F.lit(None).cast("long").alias("bound"))
+    asked = rows.where("asks").withColumn("home", F.pmod(F.xxhash64("rid", F.lit(1)), n_shards)).withColumn("n", n_shards).select("dim", "home", "n", "rid", "vec_id", "x")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, tree, parts = None, None, []
+        for batch in batches:
+            cells = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "turn")), strict=True))
+            edges = [i for i in range(len(cells)) if i == 0 or cells[i] != cells[i - 1]]
+            for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
+                part = batch.slice(a, b - a)
+                rids, ids = part.column("rid").to_numpy(), part.column("vec_id").to_numpy()
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b - a, cells[a][0])
+                if cells[a][:2] != cell:
+                    cell, tree, parts = cells[a][:2], None, []
+                if cells[a][2] == 0:
+                    parts.append((rids, ids, x))
+                    continue
+                if tree is None:
+                    tree = Tree(*(np.concatenate([p[i] for p in parts]) for i in range(2)), np.concatenate([p[2] for p in parts]))
+                    parts = []
+                out: list[tuple[int, int, int, int]] = []
+                for rid, query_id, q, bound in zip(rids.tolist(), ids.tolist(), x, part.column("bound").to_pylist(), strict=True):
+                    out += [(rid, query_id, -v, s) for s, v in tree.best(rid, q, k, _LEAST if bound is None else bound)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=_SCHEMA)
 
     def visit(queries: DataFrame) -> DataFrame:
-        asks = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "shard", "block", "vec_id", "x", "bound")])
-        return held.cogroup(asks.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(cell, _FOUND)
+        asks = queries.select("dim", "shard", F.lit(1).alias("turn"), "rid", "vec_id", "x", "bound")
+        return held.unionByName(asks).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn").mapInArrow(frugal(search), _FOUND)
 
     first = materialise(visit(asked.withColumn("shard", F.col("home")).withColumn("bound", F.lit(None).cast("long"))))
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    others = asked.drop("shard").join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim(shards) - 1))).where("shard <> home")
-    found = first.union(visit(others)) if max(shards.values(), default=1) > 1 else first
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = first
+    if max(shards.values(), default=1) > 1:
+        kth = first.groupBy("rid").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+        others = asked.join(kth, "rid", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("shard <> home")
+        found = first.union(visit(others))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    x = column.combine_chunks()
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)

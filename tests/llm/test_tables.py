@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -75,18 +76,39 @@ def vectors(n=700, width=12, seed=0):
     return [(*r, "a", "b", "c") for r in rows]
 
 
-def test_top_k(spark):
-    rows = {r[0]: r[1] for r in vectors() if r[0] is not None and r[1] and all(v is not None and np.isfinite(v) for v in r[1])}
-    x = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows.items()}
-    expected = []
-    for q in (i for i in x if i % 100 == 0):
-        scores = sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:10]
-        expected += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
-    frame = spark.createDataFrame(vectors(), VECTORS).repartition(3)
-    for sizes in ({}, {"shard_rows": 90, "block_queries": 3}):
-        assert sorted(map(tuple, topk.top_k(frame, **sizes).collect())) == sorted(expected)
+def brute_top(rows, k=10, every=100):
+    """The query's answers over (vec_id, vector) pairs, with Python's integers."""
+    ok = [(i, [math.floor(1024 * v) for v in x]) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x)]
+    out = []
+    for n, (q, a) in enumerate(ok):
+        if q % every == 0:
+            scores = sorted((-max(min(sum(u * v for u, v in zip(a, b)), 2**63 - 1), -(2**63)), i) for m, (i, b) in enumerate(ok) if m != n and len(a) == len(b))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_values": 1100}])
+def test_top_k(spark, sizes):
+    rows = vectors()
+    rows += [(4000, [3e30] * 12, 0, "", "", ""), (4100, [-70000.0] * 11 + [1e9], 0, "", "", ""), (100, rows[3][1], 1, "", "", "")]  # beyond doubles and longs; a repeated id
+    frame = spark.createDataFrame(rows, VECTORS).repartition(3)
+    with_floats = [(r[0], None if r[1] is None else [None if v is None else float(np.float32(v)) for v in r[1]]) for r in rows]
+    assert sorted(map(tuple, topk.top_k(frame, **sizes).collect())) == brute_top(with_floats)
     assert topk.top_k(spark.createDataFrame([], VECTORS)).collect() == []
-    assert len(topk.top_k(frame.where("vec_id IN (100, 200, 7)")).collect()) == 4
+    assert len(topk.top_k(frame.where("vec_id IN (200, 300, 7)")).collect()) == 4
+
+
+def test_top_k_does_not_depend_on_partitions(spark):
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.float32(np.random.default_rng(3).normal(size=(900, 8))))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    expected = brute_top(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 6, 31):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(map(tuple, topk.top_k(frame, shard_values=800).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def links_of(rows, cosine):
