@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small shuffles keep their partitions, as large ones do
         .config("spark.driver.memory", "4g")
         .config("spark.sql.maxPlanStringLength", "100000")
         .config("spark.ui.enabled", "false")
