@@ -27,10 +27,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _M = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93 | 1
 _Q_INV = pow(_Q, -1, 1 << 64)
-_BYTE_KEYS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of words that are hashed at once.
+_HASHED = 1 << 15
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -39,8 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and written tables. Only where the session names none (tests) is a local one made."""
+    """The shared folder for cut lineage and written tables. Where the session names none, a local session (tests) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="multisift-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
@@ -121,12 +123,24 @@ class Text:
     def n_words(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def word_hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_KEYS[self.data] * powers(_R, len(self.data)), out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * powers(_R_INV, len(self.data))[self.starts])
+    def word_hashes(self, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word: the sum of a mixed value for each of its bytes and where in the word it stands, mixed again.
+
+        Different salts give independent hashes.
+        """
+        lengths = self.ends - self.starts
+        behind = np.cumsum(lengths)
+        out = np.empty(len(lengths), np.uint64)
+        a = 0
+        while a < len(lengths):  # blocks that stay in the processor's cache
+            b = max(a + 1, int(np.searchsorted(behind, behind[a] - lengths[a] + _HASHED, side="right")))
+            size = lengths[a:b]
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(first, size)
+            byte = self.data[np.repeat(self.starts[a:b], size) + place]
+            out[a:b] = np.add.reduceat(mixed((place.astype(np.uint64) * np.uint64(256) + byte) * np.uint64(_R) + np.uint64(salt)), first)
+            a = b
+        return mixed(out + np.uint64(salt))
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.n_words)
@@ -149,14 +163,13 @@ class Text:
         return table_[taken], lengths[first]
 
 
-def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` word hashes; runs may cross documents, which the caller masks."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    values = mixed(hashes + np.uint64(salt)) if salt else hashes
-    np.cumsum(values * powers(_Q, n), out=sums[1:])
+    np.cumsum(hashes * powers(_Q, n), out=sums[1:])
     return mixed((sums[width:] - sums[:-width]) * powers(_Q_INV, n)[: n - width + 1])
 
 
@@ -201,9 +214,9 @@ def unpacked(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Range of the hash space, so that sorted hashes are sorted by bucket too."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def bucket_of(hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Range of the space of hashes of 32 bits or more, so that sorted hashes are sorted by bucket too."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:

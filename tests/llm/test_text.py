@@ -60,7 +60,7 @@ def test_substring_dedup(docs, none):
     for i, w in rows:
         gone = {p for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < (1 << 62 if i is None else i) for p in range(k, k + 13)}
         expected.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = substring_dedup.remove_repeats(docs, batch_bytes=500, least_batches=7, least_buckets=5).collect()
+    got = substring_dedup.remove_repeats(docs, batch_bytes=500, least_batches=7, least_ranges=20).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=key) == sorted(expected, key=key)
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
@@ -68,6 +68,15 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).collect() == []
 
 
+def test_substring_dedup_keeps_words_whose_polynomial_hashes_agree(spark):
+    """Words of a and b by the parity of the bits of the place, and the other way round: equal under any polynomial modulo 2 to the 64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(12)]
+    frame = spark.createDataFrame([(1, " ".join([one, *around])), (2, " ".join([other, *around])), (3, " ".join([other, *around]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame).collect()} == {1: 0, 2: 0, 3: 13}
+
+
 def brute_fingerprint(text, width):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
