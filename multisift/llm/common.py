@@ -231,6 +231,29 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of a stream that is sorted by some columns: (key, rows). One group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        edges = [i for i in range(len(rows)) if i == 0 or rows[i] != rows[i - 1]]
+        for a, b in zip(edges, [*edges[1:], len(rows)], strict=True):
+            if held and rows[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = rows[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def joined_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """many joined to one, which has a row for each key: a key with very many rows is as many keys as there are salts, by a hash of `spread`."""
+    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
 # ---------------------------------------------------------------- connected components
 
 
