@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, release
+from .common import frugal, materialise, release
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -27,23 +27,25 @@ _MEMO, _STEP = 120_000, 20_000
 class Model:
     """Tables of log frequencies: one row of `scores` for each known word or n-gram, one column for each language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], longest: int = 4, least: int = 3):
-        """counts: (language, word, count); a word with fewer than `least` occurrences only teaches n-grams."""
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], longest: int = 4, least: int = 3):
+        """words, grams: (language, word or n-gram, count); what occurs fewer than `least` times is left out, single characters aside."""
+        self.langs = sorted({lang for lang, _, _ in [*words, *grams]})
         self.longest, n = longest, max(1, len(self.langs))
         column = {lang: k for k, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for lang, word, count in counts:
-            words[word][column[lang]] += count
-            for g in set(self._grams(word)):
-                grams[g][column[lang]] += count
+
+        def table(counts: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
+            out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
+            for lang, text, count in counts:
+                out[text][column[lang]] += count
+            return dict(sorted(out.items()))
+
         tables: list[np.ndarray] = []
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
-        self._add(self.words, tables, {w: c for w, c in words.items() if c.sum() >= least})
+        self._add(self.words, tables, {w: c for w, c in table(words).items() if c.sum() >= least})
+        by_gram = table(grams)
         for size in range(1, longest + 1):
-            self._add(self.grams, tables, {g: c for g, c in grams.items() if len(g) == size and (c.sum() >= least or size == 1)})
+            self._add(self.grams, tables, {g: c for g, c in by_gram.items() if len(g) == size and (c.sum() >= least or size == 1)})
         self.scores = np.concatenate(tables) if tables else np.zeros((0, n))
 
     @staticmethod
@@ -54,12 +56,6 @@ class Model:
             index |= {k: start + i for i, k in enumerate(counts)}
             tables.append(np.log((rows + 0.5) / (rows.sum(0) + 0.5 * (len(rows) + 1))))
 
-    def _grams(self, word: str) -> Iterator[str]:
-        padded = f"^{word}$"
-        for size in range(1, self.longest + 1):
-            for i in range(len(padded) - size + 1):
-                yield padded[i : i + size]
-
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the word's places of the longest known n-gram that starts there."""
         padded, found = f"^{word}$", []
@@ -106,15 +102,22 @@ class Model:
         return score
 
 
-def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, longest: int = 4) -> Model:
+def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, most_grams: int = 100_000, longest: int = 4) -> Model:
     """Learns from the texts of rows whose lang is not null.
 
-    Bounds: `most_docs` documents, those with the least hash of their doc_id, and `most_words` words with the highest counts.
+    Bounds, each shared evenly by the languages, so that a rare one keeps its part: about `most_docs` documents, those with the least
+    hash of their doc_id (a language with fewer gives all it has); the `most_words` most frequent words, and the `most_grams` most
+    frequent n-grams, counted over all words of those documents, whatever their length. What is frequent in one language is counted in
+    all. The driver gets a row for each language, and counts of that many words and n-grams. Without a row to learn from
+    nothing is known, and every text is `und`.
     """
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
-    last = docs.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
-    if last is None:
-        return Model([], longest)
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    langs = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).collect()
+    if not langs:
+        return Model([], [], longest)
+    share = max(1, most_docs // len(langs))
+    # the hash is even, so a share of its range is that share of the rows; the least of a language is always in
+    last = {r.lang: max(r.h, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * share // r.n)) for r in langs}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = defaultdict(int)
@@ -127,9 +130,20 @@ def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, l
                     seen.clear()
         yield from _counted(seen)
 
-    counts = docs.where(F.col("h") <= last).select("text", "lang").mapInArrow(frugal(count), "lang string, word string, n long")
-    counts = counts.where("length(word) <= 40").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(most_words)
-    return Model([tuple(r) for r in counts.collect()], longest)
+    limits = F.create_map(*[F.lit(x) for p in last.items() for x in p])
+    counts = docs.where(F.col("h") <= limits[F.col("lang")]).select("text", "lang").mapInArrow(frugal(count), "lang string, word string, n long")
+    words = materialise(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    padded = F.concat(F.lit("^"), "word", F.lit("$"))
+    pieces = [F.transform(F.sequence(F.lit(1), F.char_length(padded) - (size - 1)), lambda i, size=size: F.substring(padded, i, F.lit(size))) for size in range(1, min(longest, 3) + 1)]
+    pieces += [F.when(F.char_length(padded) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (size - 1), F.lit(1))), lambda i, size=size: F.substring(padded, i, F.lit(size)))).otherwise(F.array().cast("array<string>")) for size in range(4, longest + 1)]
+    grams = words.select("lang", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def frequent(counts: DataFrame, what: str, most: int) -> list[tuple]:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), what))
+        top = counts.withColumn("rank", rank).where(F.col("rank") <= max(1, most // len(langs))).select(what).distinct()
+        return [tuple(r) for r in counts.join(top, what, "left_semi").select("lang", what, "n").collect()]
+
+    return Model(frequent(words, "word", most_words), frequent(grams, "gram", most_grams), longest)
 
 
 def _counted(seen: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +156,9 @@ def _counted(seen: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row's whole text.
 
-    A null text, and one without letters, is `und` with score 0; so is every text if nothing could be learned. Repeated rows give
-    repeated rows, a null doc_id is carried along, other columns are left out. Ties go to the first language by code point.
+    A null text, and one without letters, is `und` with score 0; so is every text if nothing could be learned. A very long text is
+    scored in steps, of which only the sum is kept. Repeated rows give repeated rows, a null doc_id is carried along, an empty table
+    gives an empty frame, and other columns are left out, whatever their names. Ties go to the first language by code point.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s limits
 
@@ -157,7 +172,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def only_known(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows, all columns, whose text has a language with at least `least` probability."""
+    """The rows, all columns, whose text has a language with at least `least` probability.
+
+    Null texts and texts without letters go. Repeated rows stay or go together. No column is added, so names can't clash. An empty table
+    gives an empty frame.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list = []
 

@@ -37,7 +37,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     kinds = kind[t.data]
     for k, name in enumerate(_CLASSES):
         marks = np.concatenate([[0], np.cumsum(kinds == k + 1, dtype=np.int64)])
-        out[:, column[name]] = np.diff(marks[t.offsets]) / per_byte
+        marked = np.diff(marks[t.offsets]) - (name == "blank")  # less the space behind each text
+        out[:, column[name]] = marked / per_byte
         if name == "newline":
             lines = np.diff(marks[t.offsets]) + 1
     out[:, column["lines"]], out[:, column["line_words"]] = np.log1p(lines), n / lines

@@ -26,7 +26,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spm.encode(table(spark, sf_dir, "documents"), spm.read_model(), decoded=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), _sha256(F.col("decoded")).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,16 +90,19 @@ def oracle_sql() -> dict[str, str]:
             FROM d LEFT JOIN r USING (doc_id)""",
         "op3_mixing": """
             WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT size,
-                md5(coalesce(doc_id::VARCHAR, '')) h FROM documents),
+                md5(concat_ws(' ', doc_id::VARCHAR, text)) h FROM documents),
             s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
             r AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE weight, 2.0::DOUBLE * source_size cap,
+                [1.0, 0.5, 1.5][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE a, [1.0, 1.5, 0.5][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE b,
                 row_number() OVER (ORDER BY source NULLS LAST) k FROM s),
             l AS (SELECT *, cap / weight fill, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) level
                 FROM r WINDOW b AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-            t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE level < fill ORDER BY fill, k LIMIT 1) * weight, cap)) target FROM l),
+            t AS (SELECT source, source_size, a, b, least(cap, coalesce((SELECT level FROM l WHERE level < fill ORDER BY fill, k LIMIT 1) * weight, cap)) target FROM l),
             p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) place FROM d)
             SELECT doc_id, size, source_size, target,
-              (least(size, greatest(0, floor(target)::BIGINT - place)) + least(size, greatest(0, floor(target)::BIGINT - source_size - place)))::BIGINT taken
+              (least(size, greatest(0, floor(target)::BIGINT - place)) + least(size, greatest(0, floor(target)::BIGINT - source_size - place)))::BIGINT taken,
+              CASE WHEN size > 0 AND place < floor(target)::BIGINT THEN CASE WHEN a = b THEN place / target
+                ELSE (sqrt(a * a + 2 * (b - a) * (place / target) * (a + (b - a) / 2)) - a) / (b - a) END END "position"
             FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source""",
         "op6_top_k": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) e FROM embeddings

@@ -6,10 +6,14 @@ and forgotten, so memory is bounded by the window and not by the text.
 
 A unigram model's path is that of the highest total score. A BPE model has one valid path to each boundary: a piece continues
 it only if merging the last two pieces anew, by the model's own order of merges, leaves the boundary between them. That is
-the same search with a yes or no in place of a score, and gives the ids of merging the whole text. Short runs go through it
-side by side, as vector operations. Characters outside the
-vocabulary become byte pieces. Runs of text that no piece can cross (those between a character and a following space) are
-searched one by one, and each only once among the texts of a chunk.
+the same search with a yes or no in place of a score, and gives the ids of merging the whole text. Characters outside the vocabulary
+become byte pieces.
+
+At a boundary that no piece can cross (between a character and a following space) all paths meet, so a text is searched run by run.
+A BPE model's runs go through the search side by side in lanes: each lane keeps a ring of boundaries a few longest pieces wide, and
+every longest piece's length the lanes' paths are followed back together and what they agree on is committed. Very long runs, and lanes
+whose paths don't meet within the ring, are searched one at a time by the same rule. A run that occurred in the chunk before isn't
+searched again.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Values fixed by the format of model files.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bounds: pairs of pieces remembered, runs searched at once, the longest of those, and the text encoded at once.
-_PAIRS, _AT_ONCE, _SHORT, _CHARS = 300_000, 20_000, 48, 4_000_000
+#: Bounds: pairs of pieces remembered, lanes searched at once, the longest run in a lane, a lane's ring in longest pieces, and the text
+#: encoded at once.
+_PAIRS, _AT_ONCE, _LANE, _RING, _CHARS = 300_000, 20_000, 128, 4, 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -148,6 +153,7 @@ class Model:
         self._piece_at = np.array(self.piece, np.int64)
         self._pairs = Table(_PAIRS)
         self._stays: dict[int, bool] = {}
+        self._before: dict[str, bytes] = {}  # the runs of the last chunk
 
     # ------------------------------------------------ merges
 
@@ -234,65 +240,102 @@ class Model:
                     last = {b: x for b, x in last.items() if b >= done}
         yield from self._path(last, done, n)
 
-    def _short_runs(self, runs: list[str]) -> list[bytes]:
-        """The ids of many runs shorter than a window, by the same steps for all of them at once: from each boundary in turn, all
-        runs follow the tree of pieces a character at a time."""
+    def _lanes(self, runs: list[str]) -> list[bytes]:
+        """The ids of many runs, by the same steps for all of them at once: from each boundary in turn, all lanes follow the tree of
+        pieces a character at a time."""
         length = np.array([*map(len, runs)])
         order = np.argsort(-length, kind="stable")
         length = length[order]
-        n, width = len(runs), int(length[0])
+        n, width, step, ring = len(runs), int(length[0]), self.longest, _RING * self.longest
         text = np.zeros((n, width), np.int64)
         flat = np.frombuffer("".join(runs[i] for i in order).encode("utf-32-le"), np.uint32)
         text[np.arange(width) < length[:, None]] = flat
-        last, begins = np.full((n, width + 1), -2, np.int64), np.zeros((n, width + 1), np.int8)
+        # of each boundary in the ring: the piece that ends there (-1: one outside the vocabulary, -2: none) and where it began
+        last, begins = np.full((n, ring), -2, np.int32), np.zeros((n, ring), np.int32)
         last[:, 0] = -1
+        done, lost = np.zeros(n, np.int64), np.zeros(n, bool)
+        count, ids, starts = np.zeros(n, np.int64), np.full((n, width), -2, np.int32), np.zeros((n, width), np.int32)
+
+        def commit(rows: np.ndarray, end: np.ndarray) -> None:
+            """Gives out the pieces from what is done to the boundaries `end`."""
+            at, k, back = end.copy(), np.zeros(len(rows), np.int64), []
+            left = np.flatnonzero(at > done[rows])
+            while len(left):
+                lane, slot = rows[left], at[left] % ring
+                at[left] = begins[lane, slot]
+                back.append((left, last[lane, slot], at[left]))
+                k[left] += 1
+                left = left[at[left] > done[lane]]
+            for j, (some, piece, start) in enumerate(back):
+                place = count[rows[some]] + k[some] - 1 - j
+                ids[rows[some], place], starts[rows[some], place] = piece, start
+            count[rows] += k
+            done[rows] = end
+
+        def met(rows: np.ndarray, begin: int) -> np.ndarray:
+            """The boundary at which the paths of all boundaries that may still grow, those from `begin` on, have met."""
+            base = begin - ring + step
+            alive = np.zeros((len(rows), ring), bool)
+            alive[:, ring - step :] = last[rows[:, None], (begin + np.arange(step)) % ring] > -2
+            paths = alive.sum(1)
+            for far in range(ring - 1, -1, -1):
+                go = np.flatnonzero(alive[:, far] & (paths > 1))
+                if len(go):
+                    to = np.maximum(begins[rows[go], (base + far) % ring] - base, 0)
+                    alive[go, far] = False
+                    paths[go] -= alive[go, to]
+                    alive[go, to] = True
+            return np.maximum(base + alive.argmax(1), done[rows])
+
         tree, pairs = self._tree, self._pairs
         for begin in range(width):
             rows = np.arange(np.searchsorted(-length, -begin, side="left"))  # those longer than begin
-            rows = rows[last[rows, begin] > -2]
-            left = last[rows, begin]
+            if begin and begin % step == 0:
+                commit(rows, met(rows, begin))
+            # the ring's slot for the farthest boundary from here is that of one long past
+            slot = (begin + step) % ring
+            if begin + step >= ring:
+                lost[rows] |= done[rows] < begin + step - ring
+                last[rows, slot] = -2
+            rows = rows[last[rows, begin % ring] > -2]
+            left = last[rows, begin % ring].astype(np.int64)
             node = np.zeros(len(rows), np.int64)
-            for end in range(begin, width):
+            for end in range(begin, min(width, begin + step)):
                 longer = length[rows] > end
                 rows, left, node = rows[longer], left[longer], node[longer]
                 node = tree.get(node << 21 | text[rows, end])
-                alive = node >= 0
+                alive, slot = node >= 0, (end + 1) % ring
                 if end == begin:
                     strange = rows[~alive]
-                    strange = strange[last[strange, end + 1] == -2]
-                    last[strange, end + 1], begins[strange, end + 1] = -1, begin
+                    strange = strange[last[strange, slot] == -2]
+                    last[strange, slot], begins[strange, slot] = -1, begin
                 rows, left, node = rows[alive], left[alive], node[alive]
                 if not len(rows):
                     break
                 i = self._piece_at[node]
-                ask = np.flatnonzero((i >= 0) & (last[rows, end + 1] == -2))
+                ask = np.flatnonzero((i >= 0) & (last[rows, slot] == -2))
                 if len(ask):
-                    key = (left[ask] + 1) << 16 | i[ask]
+                    key = (left[ask] + 1) << 32 | i[ask]
                     found = pairs.get(key)
                     new = np.unique(key[found < 0])
                     if len(new):
                         # put() may clear the map, so the answers found before are kept
-                        values = np.array([self.stays((k >> 16) - 1, k & 0xFFFF) for k in new.tolist()], np.int64)
+                        values = np.array([self.stays((k >> 32) - 1, k & 0xFFFFFFFF) for k in new.tolist()], np.int64)
                         pairs.put(new, values)
                         found[found < 0] = values[np.searchsorted(new, key[found < 0])]
                     ask = ask[found == 1]
-                    last[rows[ask], end + 1], begins[rows[ask], end + 1] = i[ask], begin
-        # back from every run's end
-        ids, starts = np.full((n, width), -2, np.int64), np.zeros((n, width), np.int64)
-        at, count, rows = length.copy(), np.zeros(n, np.int64), np.arange(n)
-        while len(rows):
-            ids[rows, count[rows]] = last[rows, at[rows]]
-            at[rows] = begins[rows, at[rows]]
-            starts[rows, count[rows]] = at[rows]
-            count[rows] += 1
-            rows = rows[at[rows] > 0]
+                    last[rows[ask], slot], begins[rows[ask], slot] = i[ask], begin
+        whole = np.flatnonzero(~lost)
+        commit(whole, length[whole])
         strange = (ids == -1).any(1)
-        turned = np.take_along_axis(ids, np.maximum(count[:, None] - 1 - np.arange(width), 0), 1).astype(np.int32)
-        whole = turned[np.arange(width) < count[:, None]].tobytes()
+        given = ids[np.arange(width) < count[:, None]].tobytes()
         ends = np.cumsum(count) * 4
         out = [b""] * n
         for k, (i, a, b) in enumerate(zip(order.tolist(), (ends - 4 * count).tolist(), ends.tolist(), strict=True)):
-            out[i] = self._with_bytes(runs[i], ids[k, : count[k]][::-1].tolist(), starts[k, : count[k]][::-1].tolist()) if strange[k] else whole[a:b]
+            if lost[k]:
+                out[i] = self._run(runs[i])
+            else:
+                out[i] = self._with_bytes(runs[i], ids[k, : count[k]].tolist(), starts[k, : count[k]].tolist()) if strange[k] else given[a:b]
         return out
 
     def _with_bytes(self, run: str, ids: list[int], starts: list[int]) -> bytes:
@@ -327,14 +370,15 @@ class Model:
     def encoded(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers. What the texts' runs have in common is searched once."""
         split = [self.runs.findall((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        ids = dict.fromkeys(run for runs in split for run in runs)
-        short = [run for run in ids if len(run) <= _SHORT] if self.kind == BPE else []
-        for a in range(0, len(short), _AT_ONCE):
-            part = short[a : a + _AT_ONCE]
-            ids.update(zip(part, self._short_runs(part), strict=True))
-        for run in ids:
-            if ids[run] is None:
-                ids[run] = self._run(run)
+        before = self._before
+        ids = {run: before.get(run) for runs in split for run in runs}
+        lanes = sorted((run for run, x in ids.items() if x is None and len(run) <= _LANE), key=len) if self.kind == BPE else []
+        for a in range(0, len(lanes), _AT_ONCE):
+            part = lanes[a : a + _AT_ONCE]
+            ids.update(zip(part, self._lanes(part), strict=True))
+        for run in [run for run, x in ids.items() if x is None]:
+            ids[run] = self._run(run)
+        self._before = {run: x for run, x in ids.items() if len(run) <= _LANE}
         return [b"".join(map(ids.__getitem__, runs)) for runs in split]
 
     def encode(self, text: str | None) -> list[int]:
@@ -371,7 +415,9 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
 def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool = False) -> DataFrame:
     """doc_id and ids of every row's whole text, with `decoded` also what the ids give back, and with `compared` whether that is the text.
 
-    Null and empty texts have no ids; a null text has no comparison. Repeated rows give repeated rows, a null doc_id is carried along, other columns are left out.
+    Null and empty texts have no ids and give back an empty text; a null text has no comparison. A very long text is encoded whole, one
+    at a time: the search holds its window, besides the text and its ids. Repeated rows give repeated rows, a null doc_id is carried
+    along, an empty table gives an empty frame, and other columns are left out, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -397,7 +443,11 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """Adds the decoded text to a frame with ids. Texts come back as they were, but for U+2581, which comes back as a space."""
+    """Adds the decoded text to a frame with ids; a column `decoded` that is there already is replaced.
+
+    Texts come back as they were, but for U+2581, which comes back as a space. Null or empty ids give an empty text. Repeated rows and
+    other columns stay, an empty table gives an empty frame.
+    """
     held = encoded.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

@@ -302,6 +302,25 @@ def test_mixing(spark, docs, none):
     assert mixing.schedule(none).collect() == [] and mixing.mixed_documents(none).collect() == []
 
 
+def test_mixed_order_does_not_depend_on_partitions_or_repeats(spark):
+    """Repeated ids, repeated rows and clashing names; a repeated row without words changes nothing."""
+    schema = "doc_id long, text string, source string, mix_key string, mix_visit int, MIX_SIZE long, mix_cut string, mix_order int, __size long, key int, h string, n_chars long"
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 7)), f"s{i % 3}", "k", i, 3, "c", 4, 5, 6, "h", 9) for i in range(60)]
+    more = [*rows, (7, "another text", "s1", "k", 100, 3, "c", 4, 5, 6, "h", 9), rows[8], (None, "a b", None, "k", 101, 3, "c", 4, 5, 6, "h", 9), (None, "c d", None, "k", 102, 3, "c", 4, 5, 6, "h", 9)]
+
+    def stream(some, n):
+        out = mixing.mixed_documents(spark.createDataFrame(some, schema).repartition(n), 3)
+        assert out.columns == spark.createDataFrame([], schema).columns
+        return [tuple(r) for r in out.collect()]
+
+    assert stream(rows, 3) == stream([*rows, (*rows[0][:1], "", *rows[0][2:])], 5) == stream(rows, 1)
+    assert stream(more, 4) == stream(more[::-1], 2)
+    scheduled = mixing.schedule(spark.createDataFrame(more, schema).repartition(3)).collect()
+    assert sorted(map(str, scheduled)) == sorted(map(str, mixing.schedule(spark.createDataFrame(more[::-1], schema)).collect()))
+    times = [r.position for r in scheduled]
+    assert [t for t in times if t is not None] == sorted(t for t in times if t is not None)
+
+
 def test_position_inverts_the_integral(spark):
     from pyspark.sql import functions as F
 
@@ -316,7 +335,8 @@ def test_language_id(spark, docs, none):
     got = queries.op9_language_id(spark, sf).collect()
     held = [r for r in got if r.held_out]
     assert len(got) == 1000 and sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
-    model = langid.learn(spark.createDataFrame([(1, "the the the cat", "en"), (2, "le le le chat", "fr"), (3, None, "fr"), (4, "el", None)], "doc_id long, text string, lang string"))
+    few = spark.createDataFrame([(1, "the the the cat", "en"), (2, "le le le chat", "fr"), (3, None, "fr"), (4, "el", None)], "doc_id long, text string, lang string")
+    model = langid.learn(few)
     score = model.scorer()
     assert score("the")[0] == "en" and score("lechat le")[0] == "fr" and score(None) == score("12 ²!") == ("und", 0.0)
     assert {r.lang_pred for r in langid.identify(docs, langid.learn(none)).collect()} == {"und"}
@@ -324,6 +344,75 @@ def test_language_id(spark, docs, none):
     assert set(langid.only_known(docs, model).columns) == set(docs.columns)
 
 
+def test_a_rare_language_keeps_its_words(spark):
+    """One language has nearly all documents and far more words than are kept; the others, one with long words only, are still told."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}{rng.choice('aeiou')}{rng.randrange(9) * 'x'}" for _ in range(60)), "aa") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choice(["zug", "zwei", "jetzt", "quark"]) for _ in range(30)), "bb") for i in range(4)]
+    rows += [(2000 + i, " ".join("kq" * 30 + rng.choice("wv") for _ in range(9)), "cc") for i in range(3)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_docs=60, most_words=30, most_grams=90)
+    score = model.scorer()
+    assert model.langs == ["aa", "bb", "cc"] and sum(map(len, (model.words, model.grams))) <= 120
+    assert all(score(t)[0] == lang for _, t, lang in rows[:20] + rows[400:]) and score("quark jetzt")[0] == "bb" and score("kq" * 31)[0] == "cc"
+
+
+def brute_language(rows, longest=4, least=3):
+    """A function from text to (language, probability), learned from (text, lang) by plain loops."""
+    from collections import Counter
+    from math import exp, log
+
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[w][lang] += 1
+    for w, by in words.items():
+        padded = f"^{w}$"
+        for g in {padded[i : i + n] for n in range(1, longest + 1) for i in range(len(padded) - n + 1)}:
+            grams[g].update(by)
+    langs = sorted({lang for _, lang in rows})
+    known = {w: c for w, c in words.items() if c.total() >= least}
+    parts = {n: {g: c for g, c in grams.items() if len(g) == n and (n == 1 or c.total() >= least)} for n in range(1, longest + 1)}
+
+    def logs(table):
+        total = {lang: sum(c[lang] for c in table.values()) + 0.5 * (len(table) + 1) for lang in langs}
+        return {k: [log((c[lang] + 0.5) / total[lang]) for lang in langs] for k, c in table.items()}
+
+    known, parts = logs(known), {n: logs(t) for n, t in parts.items()}
+
+    def word(w):
+        if w in known:
+            return known[w]
+        padded, found = f"^{w}$", []
+        for i in range(len(padded)):
+            for n in range(min(longest, len(padded) - i), 0, -1):
+                if padded[i : i + n] in parts[n]:
+                    found.append(parts[n][padded[i : i + n]])
+                    break
+        return [sum(x) / len(found) for x in zip(*found)] if found else [0.0] * len(langs)
+
+    def score(text):
+        found = [word(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        if not found:
+            return "und", 0.0
+        mean = [sum(x) / len(found) for x in zip(*found)]
+        odds = [exp((m - max(mean)) * min(20, len(found))) for m in mean]
+        best = odds.index(max(odds))
+        return langs[best], odds[best] / sum(odds)
+
+    return score
+
+
+def test_language_scores_match_plain_loops(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    brute = brute_language([(r.text, r.lang) for r in rows if r.text and r.lang])
+    model = langid.learn(spark.read.parquet(f"{sf}/documents.parquet"), most_words=10**7, most_grams=10**7)
+    score = model.scorer()
+    for text in [r.text for r in rows][:80] + ["lechat quelque", "zzzq", "x", "", None, "1 2"]:
+        lang, p = score(text)
+        want = brute(text)
+        assert p == pytest.approx(want[1], rel=1e-6) and (lang == want[0] or p < 0.51)
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -347,6 +436,82 @@ def processor():
     return sentencepiece.SentencePieceProcessor(model_file=spm.DEFAULT_MODEL)
 
 
+def brute_statistics(text):
+    """The statistics of quality.NAMES by plain loops over bytes and words."""
+    from math import log1p, sqrt
+
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    out = {"log_bytes": log1p(len(data)), "log_words": log1p(len(words))}
+    of = {b: name for name, members in quality._CLASSES.items() for b in members}
+    for name in quality._CLASSES:
+        out[name] = sum(of.get(b) == name for b in data) / max(1, len(data))
+    n, size = max(1, len(words)), [len(w) for w in words]
+    lines = data.count(b"\n") + 1
+    mean = sum(size) / n
+    share = lambda test: sum(map(bool, map(test, words))) / n
+    kinds = lambda w: [of.get(b) for b in w]
+    out |= {"words_odd_end": share(lambda w: of.get(w[-1]) == "odd"), "words_upper": share(lambda w: len(w) > 1 and of.get(w[0]) == "upper" and "lower" not in kinds(w))}
+    out |= {"word_mean": mean, "word_std": sqrt(max(0, sum(x * x for x in size) / n - mean * mean)), "word_most": log1p(max(size)) if size else 0}
+    out |= {"distinct_words": len(set(words)) / n, "distinct_pairs": len(set(zip(words, words[1:]))) / max(1, len(words) - 1)}
+    out |= {"repeat_next": sum(a == b for a, b in zip(words, words[1:])) / n, "lines": log1p(lines), "line_words": len(words) / lines}
+    out |= {"short_words": share(lambda w: len(w) <= 3), "capital_words": share(lambda w: of.get(w[0]) == "upper")}
+    return [out[name] for name in quality.NAMES]
+
+
+def test_statistics_match_plain_loops():
+    texts = [r[1] for r in corpus()] + TEXTS + ["SHOUT at Me! #tag# a a a\nb [x]  UP1 é"]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    for text, row in zip(texts, got):
+        assert row == pytest.approx(brute_statistics(text), rel=1e-9, abs=1e-6), (text or "")[:50]
+
+
+def brute_boost(x, y, trees, depth, rate, bins, least, ridge):
+    """Margins of the rows after boosting, each node's split found by trying all cuts of all columns on its rows."""
+    import numpy as np
+
+    share = min(0.99, max(0.01, y.mean()))
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = y - p, p * (1 - p)
+
+        def grow(rows, level):
+            g, h = grad[rows].sum(), hess[rows].sum()
+            best, split = 1e-6, None
+            for f in range(x.shape[1]) if level < depth else ():
+                for cut in cuts[f]:
+                    left = rows[x[rows, f] <= cut]
+                    if len(left) < least or len(rows) - len(left) < least:
+                        continue
+                    a, b = grad[left].sum(), hess[left].sum()
+                    gain = a**2 / (b + ridge) + (g - a) ** 2 / (h - b + ridge) - g**2 / (h + ridge)
+                    if gain > best + 1e-9:
+                        best, split = gain, (f, cut)
+            if split is None:
+                margin[rows] += rate * g / (h + ridge)
+                return
+            over = x[rows, split[0]] > split[1]
+            grow(rows[~over], level + 1)
+            grow(rows[over], level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return margin
+
+
+def test_flat_trees_match_trees_grown_by_trying_all_cuts():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    x[:, 3] = np.round(x[:, 3])  # ties
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    settings = {"trees": 6, "depth": 3, "rate": 0.2, "bins": 16, "least": 10, "ridge": 1.0}
+    got = quality.Trees(x, y, **settings).probability(x)
+    assert got == pytest.approx(1 / (1 + np.exp(-brute_boost(x, y, **settings))), rel=1e-9)
+
+
 def test_sentencepiece_ids(processor):
     model, rng = spm.Model(spm.read_model()), random.Random(9)
     texts = TEXTS + ["".join(rng.choice("abcdeth  ñé\n1.日<▁") for _ in range(rng.randrange(90))) for _ in range(1500)]
@@ -369,6 +534,17 @@ def test_sentencepiece_ids_with_a_full_pair_map(processor, monkeypatch):
             assert ids == processor.encode(t) and model.decode(ids) == t
 
 
+@pytest.mark.parametrize("ring", [2, 3, 4])
+def test_long_runs_in_lanes(processor, monkeypatch, ring):
+    """All runs in lanes, which commit many times before they end; with a narrow ring some are searched alone."""
+    monkeypatch.setattr(spm, "_LANE", 10_000)
+    monkeypatch.setattr(spm, "_RING", ring)
+    model, rng = spm.Model(spm.read_model()), random.Random(8)
+    texts = ["".join(rng.choice("etaoinshrdlué日") for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["a" * 700, "ab" * 300, "the" * 100, "▁" * 90]
+    for t, ids in zip(texts, model.encoded(texts)):
+        assert memoryview(ids).cast("i").tolist() == processor.encode(t)
+
+
 def test_unigram_search_is_the_best_path(processor):
     """The same file read as a unigram model; the streaming search against one that keeps everything."""
     model, rng = spm.Model(spm.read_model()), random.Random(2)
