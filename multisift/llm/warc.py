@@ -2,13 +2,17 @@
 
 Each record is a gzip member of its own. The reader checks member (zlib's CRC), version line, header, Content-Length, the two
 line ends behind the block, and the block's digest. Where a check fails it searches the bytes behind for the next member or
-version line that passes, goes on there, and logs the bytes between as a quarantined gap.
+version line that passes, goes on there, and logs the bytes between as a quarantined gap. Archives are read a window at a time, so
+they may be of any size; what is held whole is one gzip member or record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import re
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, frugal, materialise
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-_STEP = 1 << 16
+#: Bytes unpacked at once, and bytes of an archive that are held.
+_STEP, _WINDOW = 1 << 16, 1 << 20
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -59,29 +64,62 @@ def compressed(data: bytes, level: int = 1) -> bytes:
 # ---------------------------------------------------------------- salvage
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int] | None:
+class Source:
+    """Random access to an archive through a window, with searches that remember what they found."""
+
+    def __init__(self, file: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
+        self.size = self.file.size()
+        self.start, self.window = 0, b""
+        self.known: dict[bytes, tuple[int, int]] = {}
+
+    def read(self, a: int, b: int) -> bytes:
+        b = min(b, self.size)
+        if b <= a:
+            return b""
+        if not self.start <= a <= b <= self.start + len(self.window):
+            self.start, self.window = a, self.file.read_at(max(b - a, _WINDOW), a)
+        return self.window[a - self.start : b - self.start]
+
+    def find(self, needle: bytes, start: int) -> int:
+        """The first place from `start` on, or -1. A place found before is the answer for every start up to it."""
+        since, place = self.known.get(needle, (0, -2))
+        if place != -2 and since <= start and (place == -1 or start <= place):
+            return place
+        at, place = start, -1
+        while at < self.size and place < 0:
+            held = self.read(at, at + _WINDOW)
+            k = held.find(needle)
+            place = at + k if k >= 0 else -1
+            at += max(1, len(held) - len(needle) + 1)
+        self.known[needle] = (start, place)
+        return place
+
+
+def _member(source: Source, at: int) -> tuple[bytes, int] | None:
     """The bytes of the gzip member at `at` and where it ends, if it is whole."""
     unpack, out = zlib.decompressobj(31), []
-    while at < len(data):
+    while at < source.size:
+        part = source.read(at, at + _STEP)
         try:
-            out.append(unpack.decompress(data[at : at + _STEP]))
+            out.append(unpack.decompress(part))
         except zlib.error:
             return None
-        at += len(data[at : at + _STEP])
+        at += len(part)
         if unpack.eof:
             return b"".join(out), at - len(unpack.unused_data)
     return None
 
 
-def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+def _record(source: Source, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """Header, block and end of the record at `at`, or which check failed."""
-    if data[at : at + len(VERSION)] != VERSION:
+    if source.read(at, at + len(VERSION)) != VERSION:
         return "no version line"
-    split = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    split = source.find(b"\r\n\r\n", at)
     if split < 0:
         return "unended header"
     head: dict[str, str] = {}
-    for line in data[at:split].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in source.read(at, split).decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             return "malformed header"
@@ -90,24 +128,24 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     if not (length.isascii() and length.isdigit() and len(length) < 16):
         return "no content length"
     start, end = split + 4, split + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    if source.read(end, end + 4) != b"\r\n\r\n":
         return "wrong content length"
-    block = data[start:end]
+    block = source.read(start, end)
     name, _, said = head.get("warc-block-digest", "").partition(":")
     if name.lower() == "sha1" and said != digest(block):
         return "wrong block digest"
     return head, block, end + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+def salvage(data: Source | bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """(offset, length, header, block, reason) of each record, and of each gap with no header and a reason, in order.
 
-    Offsets are those of the archive; records that share a gzip member share its offset and length.
+    Offsets are those of the archive; records that share a gzip member share its offset and length. An empty archive has none.
     """
-    view, at = memoryview(data), 0
+    source, at = Source(data) if isinstance(data, bytes) else data, 0
     gap: tuple[int, str] | None = None
-    while at < len(data):
-        found, end, reason = _here(data, view, at)
+    while at < source.size:
+        found, end, reason = _here(source, at)
         if found:
             if gap:
                 yield gap[0], at - gap[0], None, b"", gap[1]
@@ -119,23 +157,23 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             at = end
             continue
         gap = gap or (at, reason)
-        after = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
-        at = min(after, default=len(data))
+        after = [p for p in (source.find(MAGIC, at + 1), source.find(VERSION, at + 1)) if p >= 0]
+        at = min(after, default=source.size)
     if gap:
-        yield gap[0], len(data) - gap[0], None, b"", gap[1]
+        yield gap[0], source.size - gap[0], None, b"", gap[1]
 
 
-def _here(data: bytes, view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int, str]:
+def _here(source: Source, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int, str]:
     """The records at `at`, where they end, and why there are none or not all of a member."""
-    if data[at : at + 3] != MAGIC:
-        got = _record(data, at)
+    if source.read(at, at + 3) != MAGIC:
+        got = _record(source, at)
         return ([], at, got) if isinstance(got, str) else ([got[:2]], got[2], "")
-    member = _member(view, at)
+    member = _member(source, at)
     if member is None:
         return [], at, "broken member"
-    inner, end = member
+    inner, end = Source(member[0]), member[1]
     out, p, reason = [], 0, ""
-    while p < len(inner):
+    while p < inner.size:
         got = _record(inner, p)
         if isinstance(got, str):
             reason = reason or got
@@ -201,27 +239,63 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     return materialise(rows.mapInArrow(frugal(write), "path string, records long, bytes long"))
 
 
+def _uri(path: str) -> str:
+    """A path as Spark gives it, as a URI with an authority."""
+    return re.sub("^file:/+", "file:///", urllib.parse.quote(path, safe=":/@%"))
+
+
+def _opens(path: str) -> bool:
+    """Whether Python can open files there itself."""
+    try:
+        pyarrow.fs.FileSystem.from_uri(_uri(path))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record and every quarantined gap of the archives under a path: gap is null for records and the failed check for gaps.
 
     payload_bytes and payload_digest are those of the full payload; a revisit has them from its headers and its payload is null.
-    Archives are read as wholes: they have to fit in a task's memory, and are below 2 GB.
+    Archives may be of any size and are read a window at a time; only in a store that nothing but Spark can open are they read as
+    wholes, there below 2 GB. Empty archives give no rows, and so does a folder without files; a path that doesn't exist is an error.
     """
+    files = spark.read.format("binaryFile").load(path)
+    if _opens(path if ":" in path else "file:" + path):
+        return read_paths(files.select("path"), payloads)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0), batch.column(1), strict=True):
-                out, held = [], 0
-                for offset, length, head, block, reason in salvage(data.as_py()):
-                    row = _row(path.as_py(), offset, length, head, block, reason, payloads)
-                    out.append(row)
-                    held += len(row["payload"] or b"") + 200
-                    if held > 8_000_000:
-                        yield _batch(out)
-                        out, held = [], 0
-                yield _batch(out)
+                yield from _rows(path.as_py(), Source(data.as_py()), payloads)
+
+    return files.select("path", "content").mapInArrow(frugal(read), READ_SCHEMA)
+
+
+def read_paths(paths: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records and gaps of the archives that a frame's column `path` names. Null paths are left out; an empty frame gives an empty frame."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, name = pyarrow.fs.FileSystem.from_uri(_uri(path))
+                with files.open_input_file(name) as file:
+                    yield from _rows(path, Source(file), payloads)
+
+    return paths.where("path IS NOT NULL").select("path").mapInArrow(frugal(read), READ_SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(frugal(read), READ_SCHEMA)
+
+def _rows(path: str, source: Source, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of an archive, some MB at a time."""
+    out, held = [], 0
+    for offset, length, head, block, reason in salvage(source):
+        row = _row(path, offset, length, head, block, reason, payloads)
+        out.append(row)
+        held += len(row["payload"] or b"") + 200
+        if held > 8_000_000:
+            yield _batch(out)
+            out, held = [], 0
+    yield _batch(out)
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -246,11 +320,21 @@ def _row(path: str, offset: int, length: int, head: dict[str, str] | None, block
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes the pages to archives in the session's shared folder and reads them back (records only, without payloads)."""
+    """Writes the pages to archives in the session's shared folder and reads them back (records only, without payloads).
+
+    Fails if the archives give back fewer or more records than were written. An empty table gives an empty frame.
+    """
     spark = pages.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    folder = f"{base if ':' in base else 'file://' + base}/warc-{uuid.uuid4().hex}"
-    manifest = write_archives(pages, folder, least_bytes)
-    if not manifest.limit(1).count():
+    base = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    # a folder without a scheme is one of the session's default file system, as for Spark
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    manifest = write_archives(pages, re.sub("^file:/+", "file:///", f"{base}/warc-{uuid.uuid4().hex}"), least_bytes)
+    archives, written = manifest.agg(F.count("*"), F.sum("records")).first()
+    if not archives:
         return spark.createDataFrame([], READ_SCHEMA)
-    return read_archives(spark, folder, payloads=False).where("gap IS NULL")
+    tasks = max(1, min(archives, 8 * spark.sparkContext.defaultParallelism, math.ceil(written / 1000)))
+    found = materialise(read_paths(manifest.repartition(tasks, "path"), payloads=False).where("gap IS NULL"))
+    read = found.count()
+    if read != written:
+        raise ValueError(f"{written} records were written, {read} came back")
+    return found

@@ -57,6 +57,22 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == [] and len(list(warc.salvage(b"WARC/1.1\r\n"))) == 1
 
 
+def test_archives_are_read_through_a_window(monkeypatch, spark, tmp_path):
+    """Long headers, records and gaps across many small windows; markers that straddle two; empty archives and folders."""
+    monkeypatch.setattr(warc, "_WINDOW", 37)
+    rng = random.Random(5)
+    plain = [warc.record(i, "http://x/" + "y" * rng.choice([1, 3000]), rng.randbytes(rng.choice([0, 10, 5000]))) for i in range(20)]
+    for parts in (plain, [warc.compressed(x) for x in plain]):
+        data = b"".join(p + rng.randbytes(rng.choice([0, 50])).replace(b"\x1f", b"").replace(b"W", b"") for p in parts)
+        assert [warc._page(h["warc-record-id"]) for _, _, h, _, _ in warc.salvage(data) if h] == list(range(20))
+    assert len(list(warc.salvage((warc.VERSION + b"x") * 400))) == 1
+    (tmp_path / "b c").mkdir()
+    (tmp_path / "b c" / "empty.warc.gz").write_bytes(b"")
+    assert warc.read_archives(spark, f"{tmp_path}/b c").collect() == []
+    (tmp_path / "b c" / "one.warc").write_bytes(plain[0] + b"rest")
+    assert [r.gap for r in warc.read_archives(spark, f"{tmp_path}/b c").collect()] == [None, "no version line"]
+
+
 def test_several_records_in_a_member():
     plain = [warc.record(i, "u", b"p") for i in range(3)]
     data = warc.compressed(plain[0] + plain[1][:-20] + plain[2])
