@@ -54,6 +54,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """About the bytes of text in a frame: twice the planner's size of its files, or a measured sum where that is unknown."""
     hint = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -257,7 +265,8 @@ def joined_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: str, ho
 # ---------------------------------------------------------------- connected components
 
 
-_SALTS = 16
+#: Salts of a hot key, and nodes of a forest in memory.
+_SALTS, _NODES = 16, 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +280,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def links() -> pa.RecordBatch:
+        found = [(x, r) for x, r in ((x, root(x)) for x in list(parent)) if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    links = [(x, root(x)) for x in list(parent)]
-    links = [(x, r) for x, r in links if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([r for _, r in links], pa.int64())], ["u", "v"])
+        if len(parent) > _NODES:  # a forest of what came so far; the next one starts anew
+            yield links()
+            parent.clear()
+    yield links()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -290,7 +304,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL AND `{a}` <> `{b}`")
-    e = materialise(e.mapInArrow(_forest, "u long, v long"))
+    e = materialise(e.mapInArrow(frugal(_forest), "u long, v long"))
     before = None
     while True:
         found = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import frugal, materialise, release
@@ -134,9 +134,12 @@ def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, m
     counts = docs.where(F.col("h") <= limits[F.col("lang")]).select("text", "lang").mapInArrow(frugal(count), "lang string, word string, n long")
     words = materialise(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    pieces = [F.transform(F.sequence(F.lit(1), F.char_length(padded) - (size - 1)), lambda i, size=size: F.substring(padded, i, F.lit(size))) for size in range(1, min(longest, 3) + 1)]
-    pieces += [F.when(F.char_length(padded) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (size - 1), F.lit(1))), lambda i, size=size: F.substring(padded, i, F.lit(size)))).otherwise(F.array().cast("array<string>")) for size in range(4, longest + 1)]
-    grams = words.select("lang", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def pieces(size: int) -> Column:
+        last = F.char_length(padded) - (size - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select("lang", F.explode(F.array_distinct(F.concat(*(pieces(size) for size in range(1, longest + 1))))).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def frequent(counts: DataFrame, what: str, most: int) -> list[tuple]:
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), what))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, free_name, materialise
 
 #: Weights, and start and end of the schedules, by a source's rank, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -94,14 +94,6 @@ def _schedule(docs: DataFrame, share: float, most: float, digits: int) -> DataFr
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes", "positions", F.get("positions", F.lit(0)).alias("position"), "key", "h")
 
 
-def _free(columns: list[str], name: str) -> str:
-    """The name, with as many underscores before it as make it differ from all columns."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def mixed_documents(docs: DataFrame, partitions: int | None = None, share: float = 1.5, most: float = 2.0, digits: int = 3) -> DataFrame:
     """The training stream: all columns of the documents, a row for each visit, range-sorted by position.
 
@@ -110,7 +102,7 @@ def mixed_documents(docs: DataFrame, partitions: int | None = None, share: float
     number of their own, which changes neither visits nor order. Names of other columns can't clash with those of working
     columns. An empty table gives an empty frame.
     """
-    key, visit, size, cut, order = (_free(docs.columns, n) for n in ("mix_key", "mix_visit", "mix_size", "mix_cut", "mix_order"))
+    key, visit, size, cut, order = (free_name(docs.columns, n) for n in ("mix_key", "mix_visit", "mix_size", "mix_cut", "mix_order"))
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
         docs = materialise(docs.withColumn(key, F.monotonically_increasing_id()))
     else:

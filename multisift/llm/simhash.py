@@ -8,7 +8,8 @@ only what is left gets the full Hamming check.
 
 Copies share a fingerprint and are one class. What meets at a key is linked by a spanning forest, not by all its pairs: each
 member is compared with those not reached yet, in one numpy pass. A key's members are distinct fingerprints that agree in
-two segments but for one bit, so their number is bounded by the remaining bits, not by the number of documents.
+two segments but for one bit. Of n unrelated fingerprints a key of two segments of 13 and 12 bits expects 14 n / 2^25, which is
+compared pair by pair; copies and near copies don't add to that, since a search leaves what it has reached.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, bucket_of, byte_lengths, chunks, connected_components, frugal, group_starts, materialise, mixed, packed, unpacked
+from .common import Text, bucket_of, byte_lengths, chunks, connected_components, free_name, frugal, group_starts, joined_hot, materialise, mixed, packed, unpacked
 
 #: Shingles whose bits are counted at once.
 _BLOCK = 100_000
@@ -202,26 +203,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "component").select("fp", "component_id")
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return joined_hot(prints, named, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6) -> DataFrame:
     """The documents, all columns, but of each group of near duplicates only the one with the least doc_id.
 
-    Repeated rows of that doc_id leave one row. Rows without a doc_id can't be told apart by one and all stay.
+    Repeated rows of that doc_id leave one row. Rows without a doc_id can't be told apart by one and all stay. Names of other columns
+    can't clash with those of working columns. An empty table gives an empty frame.
     """
     groups = near_duplicates(docs, words, max_bits)
-    kept = materialise(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows")))
-    return rows_of(docs, kept)
+    return rows_of(docs, materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))))
 
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents of kept(__kept_id, __rows), one row each where there are several, and those without a doc_id."""
+    """The documents of kept(doc_id, n rows), one row each where there are several, and those without a doc_id."""
+    name = free_name(docs.columns, "kept_id")
 
     def of(condition: str) -> DataFrame:
-        return docs.join(kept.where(condition).select("__kept_id"), F.col("doc_id") == F.col("__kept_id"), "left_semi")
+        return docs.join(kept.where(condition).select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_semi")
 
-    out = of("__rows = 1").unionByName(docs.where("doc_id IS NULL"))
-    if kept.where("__rows > 1").limit(1).count():
-        out = out.unionByName(of("__rows > 1").dropDuplicates(["doc_id"]))
+    out = of("n = 1").unionByName(docs.where("doc_id IS NULL"))
+    if kept.where("n > 1").limit(1).count():
+        out = out.unionByName(of("n > 1").dropDuplicates(["doc_id"]))
     return out

@@ -5,23 +5,28 @@ Candidates come from SimHash with pigeonring filtering, and from minima of hashe
 bits, and with so large a budget the segments of the ring are too short to be keys.
 
 Candidates only say which documents have to be looked at together. Each connected set of them gets its shingle sets once, and there
-the exact similarity links, by a search that compares a document with those not reached yet in one numpy pass.
+the exact similarity links, by a search that compares a document with those not reached yet in one numpy pass. A set of more than
+_MOST members or _BYTES bytes isn't one task: all its members are compared with one of them, in as many tasks as there are salts, and
+those that aren't similar to that one are compared with all members in a grid of cells. In a group of near copies the
+first step leaves few for the second.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, byte_lengths, chunks, connected_components, frugal, group_starts, materialise, mixed, windows
+from .common import Text, byte_lengths, chunks, connected_components, frugal, group_starts, grouped, joined_hot, materialise, mixed, windows
 from .simhash import fingerprint_links, fingerprints, rows_of
 
 _BANDS, _MINIMA = 24, 5
+#: The largest set of candidates that is one task, in members and in bytes of shingle hashes; bytes of a side of a cell.
+_MOST, _BYTES = 512, 16_000_000
 _RNG = np.random.default_rng(8)
 _TURN = _RNG.integers(0, 1 << 32, _BANDS * _MINIMA, dtype=np.uint32)
 _SPREAD = _RNG.integers(0, 1 << 31, _BANDS * _MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,7 +113,7 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, name, fp, keys): name of the shingle set, SimHash fingerprint and band keys of each row."""
+    """(doc_id, name, size, fp, keys): name and size of the shingle set, SimHash fingerprint and band keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,22 +124,22 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 names, keys = set_names(h, at), band_keys(h, at)
                 bounds = pa.array(np.arange(n + 1, dtype=np.int32) * _BANDS)
                 lists = pa.ListArray.from_arrays(bounds, pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(names.view(np.int64)), pa.array(fingerprints(texts, width).view(np.int64)), lists], ["doc_id", "name", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(names.view(np.int64)), pa.array(np.diff(at)), pa.array(fingerprints(texts, width).view(np.int64)), lists], ["doc_id", "name", "size", "fp", "keys"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, name long, fp long, keys array<long>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, name long, size long, fp long, keys array<long>")
 
 
 def candidates(classes: DataFrame, max_bits: int) -> DataFrame:
     """(a, b) over distinct sets (name, fp, keys): links enough to connect what shares a band or is within max_bits bits."""
     bands = classes.where("name <> 0").select("name", F.explode("keys").alias("key"))
     heads = bands.groupBy("key").agg(F.min("name").alias("head"), F.max("name").alias("last")).where("head < last").select("key", "head")
-    out = bands.join(heads, "key").where("name <> head").select("name", "head").distinct()
+    out = joined_hot(bands, heads, ["key"], "name").where("name <> head").select("name", "head").distinct()
     prints = materialise(classes.where("name <> 0").groupBy("fp").agg(F.min("name").alias("head")))
     buckets = max(64, math.ceil(prints.count() * 15 * (max_bits + 1) / 1_000_000))
     links = fingerprint_links(prints, max_bits, buckets)
     for end in ("a", "b"):
         links = links.join(prints.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
-    same = classes.where("name <> 0").join(prints, "fp").where("name <> head").select("name", "head")
+    same = joined_hot(classes.where("name <> 0").select("name", "fp"), prints, ["fp"], "name").where("name <> head").select("name", "head")
     return out.union(same).union(links.select("head_a", "head_b")).toDF("a", "b")
 
 
@@ -142,15 +147,18 @@ def keep_similar(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits:
     """The documents, all columns, but of those whose shingle sets have a Jaccard similarity of at least `least`, directly or through
     others, only the one with the least doc_id.
 
-    Texts without words are alike. Repeated rows of that doc_id leave one row. Rows without a doc_id all stay and link nothing.
-    Similarities are exact but for equal hashes of 64 bits; of pairs at 0.8, one in 10,000 is expected not to become a candidate.
+    Texts without words, null ones among them, are alike. Repeated rows of that doc_id leave one row. Rows without a doc_id all stay and
+    link nothing. Names of other columns can't clash. An empty table gives an empty frame. Similarities are exact but for equal
+    hashes of 64 bits; of pairs at 0.8, one in 10,000 is expected not to become a candidate.
     """
-    plain = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(described(plain, words))
-    classes = materialise(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    classes = materialise(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     parts = connected_components(candidates(classes, max_bits))
-    asked = materialise(classes.join(parts, F.col("name") == F.col("node")).select("name", "least", "component"))
-    texts = plain.select("doc_id", "text").join(asked.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    asked = classes.join(parts, F.col("name") == F.col("node")).select("name", "least", "component", "size")
+    sizes = asked.groupBy("component").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("name").alias("head"))
+    asked = materialise(joined_hot(asked, sizes, ["component"], "name"))
+    large = (F.col("n") > _MOST) | (F.col("bytes") > _BYTES)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +168,62 @@ def keep_similar(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits:
                 blobs = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(blobs, pa.binary())], ["name", "hashes"])
 
-    def meet(table: pa.Table) -> pa.Table:
+    def held(members: DataFrame) -> DataFrame:
+        """The members with their shingle sets."""
+        texts = plain.join(members.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("text")
+        return texts.mapInArrow(frugal(sets), "name long, hashes binary").join(members, "name")
+
+    def found(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names, their least doc_id and the number of each one's group."""
         by_name = dict(zip(table.column("name").to_pylist(), zip(table.column("least").to_pylist(), table.column("hashes").to_pylist(), strict=True), strict=True))
-        first = np.array([x for x, _ in by_name.values()], np.int64)
-        of = similar_groups([np.frombuffer(x, np.uint64) for _, x in by_name.values()], least)
+        return np.array(list(by_name), np.int64), np.array([x for x, _ in by_name.values()], np.int64), similar_groups([np.frombuffer(x, np.uint64) for _, x in by_name.values()], least)
+
+    def meet(table: pa.Table) -> pa.Table:
+        _, first, of = found(table)
         head = np.full(int(of.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(head, of, first)
         return pa.table({"doc_id": first[first != head[of]]})
 
-    held = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(sets), "name long, hashes binary").join(asked, "name")
-    gone = held.groupBy("component").applyInArrow(meet, "doc_id long")
+    gone = held(asked.where(~large)).groupBy("component").applyInArrow(meet, "doc_id long")
+    if asked.where(large).limit(1).count():
+        gone = gone.union(_of_large(materialise(held(asked.where(large)).dropDuplicates(["name"])), least, found))
     kept = classes.select(F.col("least").alias("doc_id")).join(gone, "doc_id", "left_anti")
-    counted = rows.select("doc_id").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    return rows_of(docs, materialise(counted.select(F.col("doc_id").alias("__kept_id"), "__rows")))
+    return rows_of(docs, materialise(rows.select("doc_id").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))))
+
+
+def _of_large(members: DataFrame, least: float, found: Callable) -> DataFrame:
+    """The doc_ids that go among large sets of candidates: members has name, least, component, n, bytes, head and hashes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column("hashes"), batch.column("head_hashes"), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(shared >= least * (len(a) + len(b) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("name"), batch.column("head"), pa.array(near, pa.bool_())], ["component", "name", "head", "near"])
+
+    heads = members.where("name = head").select("component", F.col("hashes").alias("head_hashes"))
+    to_head = joined_hot(members, heads, ["component"], "name").select("component", "name", "head", "hashes", "head_hashes")
+    to_head = materialise(to_head.mapInArrow(frugal(compare), "component long, name long, head long, near boolean"))
+    rest = to_head.where("NOT near").groupBy("component").agg(F.count("*").alias("left"))
+    # the others of a component against all of it; a side of a cell has about _BYTES / 4 bytes, and _MOST / 2 members at most
+    per = F.greatest(F.lit(1), F.least(F.lit(_MOST // 2), F.floor(F.col("n") * (_BYTES // 4) / F.col("bytes")))).cast("long")
+    every = joined_hot(members, rest, ["component"], "name").withColumn("rows", F.ceil(F.col("left") / per)).withColumn("columns", F.ceil(F.col("n") / per))
+    other = every.join(to_head.where("NOT near").select("name"), "name", "left_semi")
+    row, column = F.pmod(F.xxhash64("name"), F.col("rows")), F.pmod(F.xxhash64("name", F.lit(1)), F.col("columns"))
+    wanted = ("component", "i", "j", "name", "least", "hashes")
+    cells = other.withColumn("i", row).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).select(*wanted)
+    cells = cells.unionByName(every.withColumn("j", column).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).select(*wanted))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell in grouped(batches, ["component", "i", "j"]):
+            names, _, of = found(cell)
+            first = names[np.unique(of, return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(first[of])], ["a", "b"])
+
+    links = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(frugal(search), "a long, b long")
+    groups = connected_components(links.union(to_head.where("near").select("name", "head")).where("a <> b"))
+    grouped_ = groups.join(members.select(F.col("name").alias("node"), "least"), "node")
+    firsts = grouped_.groupBy("component").agg(F.min("least").alias("first"))
+    return joined_hot(grouped_, firsts, ["component"], "node").where("least <> first").select(F.col("least").alias("doc_id"))

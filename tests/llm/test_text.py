@@ -175,6 +175,38 @@ def test_similar_documents_are_found(spark, docs, none):
     assert sum(i is None for i in ids) == 2 and len(set(ids)) == len(ids) - 1
 
 
+def test_large_sets_of_candidates(spark, monkeypatch):
+    """A chain of copies of copies, and a group around one text, both larger than what one task takes: compared in many cells."""
+    monkeypatch.setattr(similar, "_MOST", 16)
+    rng, rows = random.Random(12), []
+    words = [f"w{rng.randrange(500)}" for _ in range(120)]
+    for i in range(150):
+        rows.append((i, " ".join(words)))
+        words = list(words)
+        words[rng.randrange(120)] = f"x{i}"
+    base = [f"v{rng.randrange(500)}" for _ in range(200)]
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 5, 9])):
+            copy[at] = f"y{rng.randrange(3)}"
+        rows.append((1000 + i, " ".join(copy)))
+    sets = [brute_shingles(t) for _, t in rows]
+    of = groups(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    expected = sorted(min(i for (i, _), g in zip(rows, of) if g == h) for h in set(of))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(expected) > 2 and sorted(r.doc_id for r in similar.keep_similar(frame).collect()) == expected
+
+
+def test_clashing_names_in_stages(spark):
+    """Columns named as the working columns of the stages that add some."""
+    schema = "doc_id long, text string, kept_id int, _kept_id int, n string, name long, component long, key string, source string, lang string, n_chars long"
+    rows = [(i, f"some words that are repeated here {i // 2}" * 4, 1, 2, "a", 4, 5, "b", "s", "en", 3) for i in range(8)]
+    frame = spark.createDataFrame(rows, schema)
+    for out in (simhash.keep_one(frame), similar.keep_similar(frame), pii.redacted(frame)):
+        assert out.columns == frame.columns
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(r.doc_id for r in similar.keep_similar(frame).collect()) == [0, 2, 4, 6]
+
+
 def test_near_dedup_stage_keeps_one_of_similar_documents(spark, sf):
     import corpus_pipeline
 
@@ -591,8 +623,7 @@ def test_pipeline_matches_its_stages_by_hand(spark, sf, processor):
     rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     score = langid.learn(spark.read.parquet(f"{sf}/documents.parquet")).scorer()
     rows = [r for r in rows if score(r["text"])[0] != "und" and score(r["text"])[1] >= 0.4]
-    prints = [brute_fingerprint(r["text"], 5) for r in rows]
-    of = groups(prints, lambda a, b: (a ^ b).bit_count() <= 6)
+    of = groups([brute_shingles(r["text"]) for r in rows], lambda a, b: jaccard(a, b) >= 0.8)
     least = defaultdict(list)
     for r, g in zip(rows, of):
         least[g].append(r["doc_id"])
@@ -600,7 +631,7 @@ def test_pipeline_matches_its_stages_by_hand(spark, sf, processor):
     for r in rows:
         r["text"] = pii.redact(r["text"], pii.find(r["text"]))
     by = defaultdict(list)
-    for r in sorted(rows, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"{r['doc_id']} {r['text']}".encode()).hexdigest()):
         by[r["source"]].append((r["doc_id"], r["text"], WORD.findall(r["text"])))
     size = {s: sum(len(w) for *_, w in v) for s, v in by.items()}
     target, left, open_ = {}, 1.5 * sum(size.values()), sorted(size)
