@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,11 +43,19 @@ class Experiment:
         return self.with_(counts=self.counts.join(ids, "cell_id", "left_semi"), cells=self.cells.join(ids, "cell_id", "left_semi"), pca=self.pca and self.pca.join(ids, "cell_id", "left_semi"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Runs the plan once and cuts its lineage, in the folder the session names or else in a local one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut lineage and written tables that the session names; a local session without one (tests) gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multisift-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="multisift-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Runs the plan once and cuts its lineage, in the folder that driver and executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import adjusted, poisson_above
 from ..model import checkpointed
 from .cluster import aggregate_features
-from .intervals import coverage, covered_windows, deep_runs, fragment_overlaps, frequent_barcodes, narrow, outside, summed_coverage, window_coverage
+from .intervals import coverage, covered_windows, deep_runs, fragment_overlaps, frequent_barcodes, narrow, summed_coverage, window_coverage, without_regions
 from .neighbors import nearest
 from .reduce import dense, feature_names, latent_semantic
 from .simulate import random_pairs
@@ -51,15 +51,13 @@ def name_pairs(names: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return pairs.select(F.concat(F.lit("dbl."), F.concat_ws("+", "name1", "name2")).alias("pair"), "name1", "name2")
 
 
-def simulated_table(fragments: DataFrame, n_artificial: int | None = None, exclude: DataFrame | None = None, least: float = 500, min_count: float = 0.001, n_features: int = 25, k: int | None = None, widest: int = 1000, seed: int = 42) -> DataFrame:
+def simulated_table(fragments: DataFrame, n_artificial: int | None = None, exclude: DataFrame | str | None = "default", least: float = 500, min_count: float = 0.001, n_features: int = 25, k: int | None = None, widest: int = 1000, seed: int = 42) -> DataFrame:
     """The working table of cells and coverage-simulated doublets: (cell_id, src, type, total, nAbove2, ratio, and coordinates c0...).
 
     Windows are what many cells cover; an artificial doublet's coverage of a window is the sum of its members', and its loci are
     those of the summed coverage.
     """
-    kept = narrow(fragments, widest)
-    if exclude is not None:
-        kept = outside(kept, exclude)
+    kept = without_regions(narrow(fragments, widest), exclude)
     names = frequent_barcodes(kept, least).select("name")
     n = names.count()
     cov = coverage(kept.join(names, "name", "left_semi"))

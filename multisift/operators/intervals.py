@@ -1,8 +1,8 @@
 """Interval operators: coverage sweeps, runs of deep coverage, merging, overlap joins and the filters around them.
 
-A sweep is cut at multiples of `cut` along the chromosome, each interval clipped into the pieces it touches. The windows run within
-(name, seqname, piece), so a barcode or chromosome with most of the fragments is many groups; runs that meet at a cut are
-joined afterwards.
+Sweeps and merges are cut at multiples of `cut` along the chromosome: windows run within (name, seqname, piece), so a barcode or
+chromosome with most of the intervals is many groups. What crosses a cut is settled by a row or two for each piece, in windows
+over pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import poisson_above
-from ..model import checkpointed
+from ..model import checkpointed, one_of
+from ..sources.fragments import default_regions
 
 CUT = 1 << 22
 
@@ -36,28 +37,64 @@ def coverage(fragments: DataFrame, by: tuple[str, ...] = ("name",), weight: Colu
     return steps.where("cov > 0").select(*by, "seqname", "start", "end", "cov")
 
 
-def merged(ranges: DataFrame, by: tuple[str, ...] = ("seqname",), gap: int = 0, group: str = "site", touching: bool = False) -> DataFrame:
-    """Adds `group`: the number, within `by`, of the merged range each range belongs to.
+def _same(left: list[Column], right: list[Column]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & a.eqNullSafe(b)
+    return out
+
+
+def merged(ranges: DataFrame, by: tuple[str, ...] = ("seqname",), gap: int = 0, group: str = "site", touching: bool = False, cut: int = CUT) -> DataFrame:
+    """Adds `group`: the start, which is unique within `by`, of the merged range each range belongs to.
 
     Ranges merge while the next starts less than `gap` behind the farthest end so far; with gap 0 only ranges that overlap do, with
-    touching also those that meet.
+    touching also those that meet. Each range belongs to the piece of its start; how far the ranges of earlier pieces reach, and where the
+    last merged range before a piece began, are windows over one row for each piece.
     """
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach if touching else F.col("start") >= reach + gap), 1).otherwise(0)
-    return ranges.withColumn("__new", new).withColumn(group, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    keys = [*by, "__piece"]
+    placed = ranges.withColumn("__piece", F.expr(f"start div {cut}"))
+
+    def earlier(rows: DataFrame, value: Column) -> DataFrame:
+        """(keys as k0..., __before): the largest value in the pieces before each."""
+        pieces = rows.groupBy(*keys).agg(F.max(value).alias("__v"))
+        before = F.max("__v").over(Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+        return pieces.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"))
+
+    def beside(rows: DataFrame, pieces: DataFrame, name: str) -> DataFrame:
+        names = [f"__k{i}" for i in range(len(keys))]
+        return rows.join(pieces.withColumnRenamed("__before", name), _same([F.col(k) for k in keys], [F.col(n) for n in names])).drop(*names)
 
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    rows = beside(placed, earlier(placed, F.col("end")), "__reach")
+    reach = F.greatest(F.col("__reach"), F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = reach.isNull() | (F.col("start") > reach if touching else F.col("start") >= reach + gap)
+    rows = rows.withColumn("__first", F.when(new, F.col("start"))).withColumn("__first", F.max("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = beside(rows, earlier(rows, F.col("__first")), "__carried")
+    return rows.withColumn(group, F.coalesce("__first", "__carried")).drop("__piece", "__reach", "__first", "__carried")
 
-def reduced(ranges: DataFrame, by: tuple[str, ...] = ("seqname",), gap: int = 0, touching: bool = False) -> DataFrame:
+
+def reduced(ranges: DataFrame, by: tuple[str, ...] = ("seqname",), gap: int = 0, touching: bool = False, cut: int = CUT) -> DataFrame:
     """The merged ranges with the number of their members."""
-    return merged(ranges, by, gap, "__group", touching).groupBy(*by, "__group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members")).drop("__group")
+    return merged(ranges, by, gap, "__group", touching, cut).groupBy(*by, "__group").agg(F.max("end").alias("end"), F.count("*").alias("members")).select(*by, F.col("__group").alias("start"), "end", "members")
+
 
+def deep_runs(cov: DataFrame, depth: float, by: tuple[str, ...] = ("name",), cut: int = CUT) -> DataFrame:
+    """Maximal runs with at least this depth, with the largest depth in each.
 
-def deep_runs(cov: DataFrame, depth: float, by: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Maximal runs with at least this depth, with the largest depth in each."""
-    deep = cov.where(F.col("cov") >= depth)
-    runs = merged(deep, (*by, "seqname"), group="__run", touching=True)
-    return runs.groupBy(*by, "seqname", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("cov").alias("depth")).drop("__run")
+    Runs are found within pieces; only those that touch a cut, at most two for each piece, are joined across it.
+    """
+    keys = [*by, "seqname"]
+    deep = _pieces(cov.where(F.col("cov") >= depth).select(*keys, "start", "end", "cov"), cut)
+
+    def joined(rows: DataFrame, parts: list[str], most: str) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy("start", "end")
+        new = F.when(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+        runs = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy(*parts, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(most).alias("depth")).select(*keys, "start", "end", "depth")
+
+    runs = joined(deep, [*keys, "__piece"], "cov")
+    edge = (F.col("start") % cut == 0) | (F.col("end") % cut == 0)
+    return runs.where(~edge).unionByName(joined(runs.where(edge), keys, "depth"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, cut: int = CUT) -> DataFrame:
@@ -70,10 +107,26 @@ def overlaps(left: DataFrame, right: DataFrame, cut: int = CUT) -> DataFrame:
     return joined.where(a["__piece"] == F.expr(f"greatest(start, r_start) div {cut}")).drop("__piece")
 
 
-def outside(ranges: DataFrame, regions: DataFrame) -> DataFrame:
-    """Ranges that overlap none of the regions. Regions are merged first, so that each range has few to meet."""
-    flat = reduced(regions.where("start < end"), touching=True).select(F.col("seqname").alias("__s"), F.col("start").alias("__a"), F.col("end").alias("__b"))
-    return ranges.join(flat, (F.col("seqname") == F.col("__s")) & (F.col("start") < F.col("__b")) & (F.col("__a") < F.col("end")), "left_anti")
+def outside(ranges: DataFrame, regions: DataFrame, cut: int = CUT) -> DataFrame:
+    """Ranges that overlap none of the regions. Regions are merged first, so that each range has few to meet.
+
+    A range shorter than a piece is looked for in the piece of its start, where the regions are that a range from there may reach; only
+    longer ones meet all regions of their chromosome.
+    """
+    flat = reduced(regions.where("start < end").select("seqname", "start", "end"), touching=True, cut=cut).select(F.col("seqname").alias("__s"), F.col("start").alias("__a"), F.col("end").alias("__b"))
+    meets = (F.col("seqname") == F.col("__s")) & (F.col("start") < F.col("__b")) & (F.col("__a") < F.col("end"))
+    short = F.coalesce(F.col("end") - F.col("start") <= cut, F.lit(True))
+    near = flat.withColumn("__p", F.explode(F.sequence(F.expr(f"greatest(0, __a - {cut}) div {cut}"), F.expr(f"(__b - 1) div {cut}"))))
+    return ranges.where(short).join(near, meets & (F.expr(f"start div {cut}") == F.col("__p")), "left_anti").unionByName(ranges.where(~short).join(flat, meets, "left_anti"))
+
+
+def without_regions(ranges: DataFrame, exclude: DataFrame | str | None) -> DataFrame:
+    """Ranges outside of regions, given or "default"."""
+    if exclude is None:
+        return ranges
+    if isinstance(exclude, str):
+        exclude = default_regions(ranges.sparkSession) if one_of(exclude, ("default",), "exclude") else None
+    return outside(ranges, exclude)
 
 
 def narrow(fragments: DataFrame, most: int = 1000) -> DataFrame:
@@ -108,16 +161,15 @@ def without_frequent_sites(loci: DataFrame, p_value: float = 0.01) -> tuple[Data
 
 
 def fragment_overlaps(
-    fragments: DataFrame, barcodes: DataFrame | None = None, exclude: DataFrame | None = None, least: float = 500, unique: bool = True, widest: int = 1000, depth: int = 3, drop_frequent: bool = True, result: str = "stats"
+    fragments: DataFrame, barcodes: DataFrame | None = None, exclude: DataFrame | str | None = "default", least: float = 500, unique: bool = True, widest: int = 1000, depth: int = 3, drop_frequent: bool = True, result: str = "stats"
 ) -> DataFrame:
     """For each barcode, the loci covered by more than two fragments.
 
     result: stats (name, nFrags, uniqFrags, nAbove2, total_nAbove2), loci, or coverages. With unique, a fragment counts once
-    whatever its number of reads; otherwise as often as its score. Barcodes without loci have zeros.
+    whatever its number of reads; otherwise as often as its score. Barcodes without loci have zeros. Fragments in `exclude` are left out:
+    regions, "default" for the mitochondrial and sex chromosomes, or None for no regions.
     """
-    kept = narrow(fragments, widest)
-    if exclude is not None:
-        kept = outside(kept, exclude)
+    kept = without_regions(narrow(fragments, widest), exclude)
     barcodes = frequent_barcodes(kept, least, barcodes)
     kept = kept.join(barcodes.select("name"), "name", "left_semi")
     cov = coverage(kept, weight=None if unique else F.col("score"))

@@ -3,7 +3,6 @@ derived from the driver's tables, each with DuckDB SQL where SQL can express it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -46,8 +45,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multisift-")
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    return f"{model.shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -81,8 +79,10 @@ def src3_chromosome_scan(s, d):
 @query('SELECT seqname, s AS "start", e AS "end", "name", CASE WHEN s % 2 = 0 THEN 3 ELSE 1 END score FROM fragments', "fragments")
 def src4_scores_that_are_no_numbers(s, d):
     path = scratch(s)
-    fragments(s, d).withColumn("score", F.when(F.col("start") % 2 == 0, "3").otherwise(".")).write.option("sep", "\t").csv(path)
-    return bed.read_fragments(s, path)
+    f = fragments(s, d).withColumn("score", F.when(F.col("start") % 2 == 0, "3").otherwise("."))
+    f.where("score = '3'").write.option("sep", "\t").csv(f"{path}/a")
+    f.where("score = '.'").write.option("sep", "\t").csv(f"{path}/b")
+    return bed.read_fragments(s, f"{path}/a").unionByName(bed.read_fragments(s, f"{path}/b"))
 
 
 @query("""SELECT "name", count(*) n FROM fragments WHERE "name"::BIGINT % 3 = 0 GROUP BY "name\"""", "fragments")
