@@ -135,10 +135,14 @@ def _rows(docs: DataFrame, make, schema: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000) -> Trees:
-    """Trees for labels 0/1; at most `most_rows` labelled documents are used, those with the least hash of their doc_id."""
+    """Trees for labels 0/1; at most `most_rows` labelled documents are used, those with the least hash of their doc_id.
+
+    Of rows that repeat a labelled doc_id the least text is used, and of labels that do the largest. Null texts have the statistics of
+    empty ones. Other labels than 0 and 1, null ones and labels of null ids are left out; without any there are no trees.
+    """
     some = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # that bound is what makes the broadcast safe
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("y", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = statistics(batch.column(1))
@@ -154,9 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every row's whole text.
 
-    Null and empty texts have all statistics zero and get the score of that. Without any label, or with one class only, every
-    score is the (clipped) share of label 1. Repeated rows give repeated rows, a null doc_id is carried along, other
-    columns are left out.
+    Null and empty texts have all statistics zero and get the score of that. A very long text is handled whole, by itself. Without any
+    label, or with one class only, every score is the (clipped) share of label 1. Repeated rows give repeated rows, a null doc_id is
+    carried along, an empty table gives an empty frame, and other columns are left out, whatever their names.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -273,7 +273,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def read_paths(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records and gaps of the archives that a frame's column `path` names. Null paths are left out; an empty frame gives an empty frame."""
+    """The records and gaps of the archives that a frame's column `path` names, each a window at a time. Null paths are left out; an empty frame gives an empty frame."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
