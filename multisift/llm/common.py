@@ -62,6 +62,13 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def spread(df: DataFrame, least_bytes: int = 4_000_000) -> DataFrame:
+    """The frame, dealt out anew if there is so little of it that its files would leave cores idle; more than least_bytes a core stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    hint = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if hint < least_bytes * cores else df
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """About the bytes of text in a frame: twice the planner's size of its files, or a measured sum where that is unknown."""
     hint = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

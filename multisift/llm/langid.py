@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialise, release
+from .common import frugal, materialise, release, spread
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, most_docs: int = 20_000, most_words: int = 100_000, m
         yield from _counted(seen)
 
     limits = F.create_map(*[F.lit(x) for p in last.items() for x in p])
-    counts = docs.where(F.col("h") <= limits[F.col("lang")]).select("text", "lang").mapInArrow(frugal(count), "lang string, word string, n long")
+    counts = spread(docs.where(F.col("h") <= limits[F.col("lang")]).select("text", "lang")).mapInArrow(frugal(count), "lang string, word string, n long")
     words = materialise(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
 
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def only_known(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
@@ -191,7 +191,7 @@ def only_known(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
         release()
         return out
 
-    return docs.where(score(F.col("text")) >= least)
+    return spread(docs).where(score(F.col("text")) >= least)
 
 
 def remainder(doc_id: str, divisor: int):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, release
+from .common import frugal, release, spread
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "secret")
@@ -155,7 +155,7 @@ def detect(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id long, spans {SPANS}")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(frugal(run), f"doc_id long, spans {SPANS}")
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -171,7 +171,7 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
         release()
         return out
 
-    out = docs.withColumn(text, clean(F.col(text)))
+    out = spread(docs).withColumn(text, clean(F.col(text)))
     if length in docs.columns:
         out = out.select(*(F.when(F.col(length).isNotNull(), F.char_length(text)).cast(out.schema[length].dataType).alias(length) if c == length else F.col(f"`{c}`") for c in docs.columns))
     return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, byte_lengths, chunks, frugal, group_starts, windows
+from .common import Text, byte_lengths, chunks, frugal, group_starts, spread, windows
 from .langid import remainder
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "stop": b".,;:", "bang": b"!?", "odd": b"#$%&*|<>{}[]\\/_=+@~^", "quote": b"\"'()-", "newline": b"\n", "blank": b" \t", "high": range(128, 256)}
@@ -131,7 +131,7 @@ def _rows(docs: DataFrame, make, schema: str) -> DataFrame:
             for part in chunks(byte_lengths(batch.column(1))):
                 yield make(batch.slice(part.start, part.stop - part.start))
 
-    return docs.mapInArrow(frugal(run), schema)
+    return spread(docs).mapInArrow(frugal(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000) -> Trees:

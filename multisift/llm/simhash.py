@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, bucket_of, byte_lengths, chunks, connected_components, free_name, frugal, group_starts, joined_hot, materialise, mixed, packed, unpacked
+from .common import Text, bucket_of, byte_lengths, chunks, connected_components, free_name, frugal, group_starts, joined_hot, materialise, mixed, packed, spread, unpacked
 
 #: Shingles whose bits are counted at once.
 _BLOCK = 100_000
@@ -158,7 +158,7 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
                 fp = fingerprints(texts.slice(part.start, n), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, n), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def fingerprint_links(classes: DataFrame, max_bits: int, buckets: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, byte_lengths, chunks, connected_components, frugal, group_starts, grouped, joined_hot, materialise, mixed, windows
+from .common import Text, byte_lengths, chunks, connected_components, frugal, group_starts, grouped, joined_hot, materialise, mixed, spread, windows
 from .simhash import fingerprint_links, fingerprints, rows_of
 
 _BANDS, _MINIMA = 24, 5
@@ -126,7 +126,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(bounds, pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(names.view(np.int64)), pa.array(np.diff(at)), pa.array(fingerprints(texts, width).view(np.int64)), lists], ["doc_id", "name", "size", "fp", "keys"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, name long, size long, fp long, keys array<long>")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(frugal(run), "doc_id long, name long, size long, fp long, keys array<long>")
 
 
 def candidates(classes: DataFrame, max_bits: int) -> DataFrame:

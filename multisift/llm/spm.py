@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, chunks, frugal
+from .common import byte_lengths, chunks, frugal, spread
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -439,7 +439,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool
 
     names = ["doc_id", "ids", *["decoded"] * decoded, *["same_text"] * compared]
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded + ", same_text boolean" * compared
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
