@@ -86,15 +86,15 @@ def deep_runs(cov: DataFrame, depth: float, by: tuple[str, ...] = ("name",), cut
     keys = [*by, "seqname"]
     deep = _pieces(cov.where(F.col("cov") >= depth).select(*keys, "start", "end", "cov"), cut)
 
-    def joined(rows: DataFrame, parts: list[str], most: str) -> DataFrame:
-        w = Window.partitionBy(*parts).orderBy("start", "end")
+    def joined(rows: DataFrame, part: str, most: str) -> DataFrame:
+        w = Window.partitionBy(*keys, part).orderBy("start", "end")
         new = F.when(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
         runs = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return runs.groupBy(*parts, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(most).alias("depth")).select(*keys, "start", "end", "depth")
+        return runs.groupBy(*keys, part, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(most).alias("depth"))
 
-    runs = joined(deep, [*keys, "__piece"], "cov")
+    runs = joined(deep, "__piece", "cov")
     edge = (F.col("start") % cut == 0) | (F.col("end") % cut == 0)
-    return runs.where(~edge).unionByName(joined(runs.where(edge), keys, "depth"))
+    return joined(runs.withColumn("__at", F.when(edge, -1).otherwise(F.col("__piece"))).drop("__run"), "__at", "depth").select(*keys, "start", "end", "depth")
 
 
 def overlaps(left: DataFrame, right: DataFrame, cut: int = CUT) -> DataFrame:
@@ -146,7 +146,7 @@ def frequent_barcodes(fragments: DataFrame, least: float = 500, barcodes: DataFr
 
 def site_sizes(loci: DataFrame, p_value: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """loci with their merged site, and the sites with the number of loci and whether that is more than chance allows."""
-    sited = merged(loci, gap=0, group="site")
+    sited = checkpointed(merged(checkpointed(loci), gap=0, group="site"))  # each read several times
     sites = sited.groupBy("seqname", "site").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
     mean = sites.agg(F.avg("n").alias("__mean"))
     sites = sites.crossJoin(F.broadcast(mean)).withColumn("p", poisson_above(F.col("n"), F.col("__mean"))).drop("__mean")  # one row
@@ -178,7 +178,7 @@ def fragment_overlaps(
     loci = deep_runs(cov, depth)
     if result == "loci":
         return loci
-    loci, barcodes = checkpointed(loci), checkpointed(barcodes)  # each read several times below
+    loci, barcodes = checkpointed(loci), checkpointed(barcodes)  # read several times below
     rest = without_frequent_sites(loci)[0] if drop_frequent else loci
     total = loci.groupBy("name").agg(F.count("*").alias("total_nAbove2"))
     above = rest.groupBy("name").agg(F.count("*").alias("nAbove2"))
@@ -214,4 +214,4 @@ def covered_windows(cov: DataFrame, names: int, least: float = 0.001, gap: int =
     runs = runs.withColumn("__k", draw).where(F.col("__k") <= most).drop("__k")
     need = max(2, round(least * names)) if least < 1 else least
     pooled = deep_runs(coverage(runs, by=()), need, by=())
-    return reduced(pooled, gap=gap).select(F.concat_ws("-", "seqname", "start", "end").alias("window_id"), "seqname", "start", "end")
+    return reduced(checkpointed(pooled), gap=gap).select(F.concat_ws("-", "seqname", "start", "end").alias("window_id"), "seqname", "start", "end")

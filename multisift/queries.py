@@ -116,10 +116,15 @@ def snk1_attached_columns(s, d):
     return multiplets.attach(cells(s, d), scored(s, d).where("src = 'real'").select("cell_id", "score", "mostLikelyOrigin"))
 
 
-@query("""SELECT 'full' shape, count(*) n FROM scored UNION ALL SELECT 'table', count(*) FROM scored WHERE src = 'real'""", "scored")
+@query("""SELECT 'full' shape, count(*) n, sum(score) total FROM scored UNION ALL SELECT 'table', count(*), sum(score) FROM scored WHERE src = 'real'
+    UNION ALL SELECT 'cells', count(*), sum(CASE WHEN src = 'real' THEN score END) FROM scored""".replace("sum(score)", "round(sum(score), 4)").replace("sum(CASE WHEN src = 'real' THEN score END)", "round(sum(CASE WHEN src = 'real' THEN score END), 4)"), "scored")
 def snk2_result_shapes(s, d):
-    t = scored(s, d)
-    return t.agg(F.lit("full").alias("shape"), F.count("*").alias("n")).union(t.where("src = 'real'").agg(F.lit("table"), F.count("*")))
+    out = None
+    for shape in ("full", "table", "cells"):
+        t = multiplets.shaped(scored(s, d), cells(s, d), shape)
+        part = t.agg(F.lit(shape).alias("shape"), F.count("*").alias("n"), rnd(F.sum("multisift_score" if shape == "cells" else "score"), 4).alias("total"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 LOCI = """
@@ -1160,10 +1165,9 @@ def ml2_latent_semantic(s, d):
 
 @query()
 def ml3_processings(s, d):
-    few = counts(s, d).join(select.top_by_mean(counts(s, d), 20), "feature", "left_semi")
-    out = None
-    for name in ("rawPCA", "rawFeatures", "normFeatures"):
-        part = reduce.PROCESSINGS[name](few, cells(s, d), 5).select("cell_id", F.lit(name).alias("processing"), F.size("vec").alias("dims"))
+    c, n, out = multiplets.checkpointed(counts(s, d)), multiplets.checkpointed(cells(s, d)), None
+    for name in reduce.PROCESSINGS:
+        part = reduce.PROCESSINGS[name](c, n, 5).select("cell_id", F.lit(name).alias("processing"), "vec")
         out = part if out is None else out.union(part)
     return out
 
@@ -1207,15 +1211,14 @@ def ml9_iterative_scores(s, d):
 
 @query()
 def main_multiplets(s, d):
-    e = mock.mock_experiment(s, (100, 120, 80), 80)
-    out = multiplets.detect_multiplets(e, clusters=True, n_artificial=400, dims=10, include_pcs=5)
+    e = model.Experiment(counts(s, d), cells(s, d))
+    out = multiplets.detect_multiplets(e, clusters="cluster", dims=10, include_pcs=5)
     return out.select("cell_id", "score", "class")
 
 
 @query()
 def main2_direct_classification(s, d):
-    e = mock.mock_experiment(s, (80, 80, 60), 60)
-    return multiplets.direct_classification(e, dims=10)
+    return multiplets.direct_classification(model.Experiment(counts(s, d), cells(s, d)), dims=10)
 
 
 @query()
