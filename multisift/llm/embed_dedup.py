@@ -1,7 +1,7 @@
 """Embedding near-dedup by cross-polytope hashing.
 
 A hash turns a vector by three rounds of random signs and a fast Hadamard transform, and names the axis (with its sign) that is then
-nearest; two such hashes make a table's key. In each table a vector is indexed under its own key and probes, besides that, the
+nearest; three such hashes make a table's key. In each table a vector is indexed under its own key and probes, besides that, the
 keys that replace one of the hashes by its next best axes. What meets there is a candidate pair, verified by its cosine in double
 precision.
 
@@ -47,15 +47,14 @@ def axes(x: np.ndarray, seed: int, probes: int) -> np.ndarray:
     return 2 * order + (np.take_along_axis(x, order, 1) < 0)
 
 
-def table_keys(x: np.ndarray, tables: int, probes: int) -> np.ndarray:
-    """(rows, tables, keys): a vector's own key in each table first, then those it probes."""
+def table_keys(x: np.ndarray, tables: int, probes: int, hashes: int = 3) -> np.ndarray:
+    """(rows, tables, keys): a vector's own key in each table first, then those it probes, which replace one of the hashes."""
     out = []
+    size = 4 * max(8, 1 << (x.shape[1] - 1).bit_length())
     for t in range(tables):
-        a, b = axes(x, 2 * t, probes + 1), axes(x, 2 * t + 1, probes + 1)
-        size = 4 * max(8, 1 << (x.shape[1] - 1).bit_length())
-        keys = [a[:, 0] * size + b[:, 0]]
-        for p in range(1, min(a.shape[1], probes + 1)):
-            keys += [a[:, p] * size + b[:, 0], a[:, 0] * size + b[:, p]]
+        near = [axes(x, hashes * t + h, probes + 1) for h in range(hashes)]
+        base = sum(a[:, 0] * size**h for h, a in enumerate(near))
+        keys = [base] + [base + (a[:, p] - a[:, 0]) * size**h for h, a in enumerate(near) for p in range(1, a.shape[1])]
         out.append(np.stack(keys, 1) * tables + t)
     return np.stack(out, 1)
 
