@@ -14,6 +14,7 @@ from .functions import stats
 from .functions.random import uniform_sql
 from .operators import atac, classify, cluster, coexpression, doubletclusters, enrichment, expected, intervals, matrix, neighbors, reduce, reshape, select, simulate, threshold
 from .plans import density, multiplets
+from .sinks import plots
 from .sources import fragments as bed
 from .sources import mock
 from .sources.tables import MARKER_CLUSTERS, cells, counts, embeddings, exclusion, fragments, read, scored, with_sql
@@ -149,6 +150,16 @@ def snk3_overlap_loci(s, d):
     return intervals.fragment_overlaps(fragments(s, d), least=1, widest=WIDEST, result="loci")
 
 
+@query("""WITH c AS (SELECT count(DISTINCT "cluster") n FROM cells) SELECT 'heat map' picture, n * n AS marks FROM c UNION ALL SELECT 'threshold curves', 5""", "cells")
+def snk4_pictures(s, d):
+    """The pictures, saved and read back: the number of tiles and of lines in them."""
+    heat, lines = scratch(s), scratch(s)
+    plots.save(s, plots.heat_map(expected.pair_statistics(scored(s, d), 0.5, 0.1)), heat)
+    plots.save(s, plots.curves(scored(s, d), 0.1, threshold=0.5), lines)
+    out = plots.load(s, heat).select(F.lit("heat map").alias("picture"), F.regexp_count("svg", F.lit('class="tile"')).cast("long").alias("marks"))
+    return out.union(plots.load(s, lines).select(F.lit("threshold curves"), F.regexp_count("svg", F.lit("<polyline")).cast("long")))
+
+
 # ---------------------------------------------------------------- projections and filters
 
 
