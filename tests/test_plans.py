@@ -160,3 +160,31 @@ def test_multiplets_are_found(experiment, clusters):
     out = multiplets.detect_multiplets(known, clusters=clusters, dbr=0.1, n_artificial=250, dims=10, include_pcs=6).join(experiment.cells.select("cell_id", F.col("type").alias("true")), "cell_id").collect()
     right = sum((r["class"] == "doublet") == (r.true == "doublet") for r in out)
     assert right > 0.8 * len(out) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(0, 500).select(F.concat(F.lit("c"), (F.col("id") * 7919 % 500).cast("string")).alias("cell_id")).repartition(5)
+    got = sorted((r.i, r.cell_id) for r in simulate.numbered_by(rows, "cell_id", "i").collect())
+    assert got == list(enumerate(sorted(f"c{i}" for i in range(500))))
+
+
+def test_mini_batches_find_separate_groups(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 3)) * 0.2 + c for c in ([0, 0, 0], [9, 0, 0], [0, 9, 0], [0, 0, 9])])
+    points = spark.createDataFrame([(f"c{i}", [float(v) for v in r]) for i, r in enumerate(x)], "cell_id string, vec array<double>")
+    of = {r.cell_id: r.cluster for r in cluster.mini_batch_k_means(points, 24, batch_rows=200).collect()}
+    for a in range(4):
+        mine, others = {of[f"c{i}"] for i in range(300 * a, 300 * a + 300)}, {of[f"c{i}"] for i in range(1200) if not 300 * a <= i < 300 * a + 300}
+        assert not mine & others
+    same = {r.cell_id: r.cluster for r in cluster.mini_batch_k_means(points.repartition(7), 24, batch_rows=200).collect()}
+    assert len(of) == 1200 and sum(of[i] == same[i] for i in of) > 1190
+
+
+def test_result_shapes(spark):
+    table = spark.createDataFrame([("a", "real", 0.1), ("b", "real", 0.9), ("x", "artificial", 0.8)], "cell_id string, src string, score double")
+    cells = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "cell_id string, other int")
+    ids = lambda shape: sorted(r.cell_id for r in multiplets.shaped(table, cells, shape).collect())
+    assert ids("table") == ["a", "b"] and ids("full") == ["a", "b", "x"] and ids("cells") == ["a", "b", "c"]
+    assert {r.cell_id: r.multisift_score for r in multiplets.shaped(table, cells, "cells").collect()} == {"a": 0.1, "b": 0.9, "c": None}
+    with pytest.raises(ValueError):
+        multiplets.shaped(table, cells, "other")

@@ -10,7 +10,7 @@ from multisift import queries as core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 QUERIES, SQL = core.queries(), core.oracle_sql()
-#: Queries that train models on generated data; tests/test_plans.py has them.
+#: Queries that train models; tests/test_plans.py has their plans on experiments with known doublets.
 SLOW = {"main_multiplets", "main2_direct_classification", "main3_clamulet", "den1_doublet_density", "ml6_fast_clusters", "ml7_aggregated_features", "sim3_artificial_doublets"}
 
 
@@ -45,7 +45,7 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["den1_doublet_density", "ml6_fast_clusters"])
+@pytest.mark.parametrize("name", ["den1_doublet_density", "ml6_fast_clusters", "main_multiplets", "main2_direct_classification"])
 def test_runs_over_the_whole_tables(spark, sf, name):
     got = [r.cell_id for r in QUERIES[name](spark, sf).select("cell_id").collect()]
     assert sorted(got) == sorted(r.cell_id for r in core.cells(spark, sf).select("cell_id").collect())
