@@ -50,6 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Runs the plan once and cuts its lineage through a reliable checkpoint."""
+    short_batches(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -62,8 +63,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def short_batches(spark: SparkSession, size: int = 8_000_000) -> None:
+    """A batch between the engine and Python is in memory several times over: where the session has Spark's default of 64 MB, it gets `size`
+    bytes instead."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") == "67108864b":
+        spark.conf.set(name, f"{size}b")
+
+
 def spread(df: DataFrame, least_bytes: int = 4_000_000) -> DataFrame:
     """The frame, dealt out anew if there is so little of it that its files would leave cores idle; more than least_bytes a core stays as it is."""
+    short_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     hint = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if hint < least_bytes * cores else df

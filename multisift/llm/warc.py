@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, frugal, materialise
+from .common import ensure_checkpoint_dir, frugal, materialise, short_batches
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes unpacked at once, and bytes of an archive that are held.
@@ -236,6 +236,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
 
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
+    short_batches(pages.sparkSession)
     return materialise(rows.mapInArrow(frugal(write), "path string, records long, bytes long"))
 
 
