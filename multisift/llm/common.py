@@ -67,7 +67,7 @@ def short_batches(spark: SparkSession, size: int = 8_000_000) -> None:
     """A batch between the engine and Python is in memory several times over: where the session has Spark's default of 64 MB, it gets `size`
     bytes instead."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") == "67108864b":
+    if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, f"{size}b")
 
 
