@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy handles at once; a longer document is handled alone.
@@ -119,7 +119,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n - 1, modulo 2 to the 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+        have = np.full(1 << max(16, n.bit_length()), base, np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
     return have[:n]
@@ -279,6 +279,34 @@ def joined_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: str, ho
     return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
 
+#: Bits of a bitmap of hashed ids, at most: 4 MB.
+_BITS = 1 << 25
+
+
+def id_bitmap(ids: DataFrame) -> DataFrame:
+    """One row with the column bits, array<long>: a bitmap of the hashes of the one column of ids (longs), 16 to 32 bits an id, up to _BITS."""
+    (name,) = ids.columns
+    size = min(_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    place = F.xxhash64(F.col(name).cast("long")).bitwiseAND(F.lit(size - 1))
+    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return ids.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits))}))
+
+
+def maybe_in(rows: DataFrame, key: Column, bitmap: DataFrame, within: bool = True) -> DataFrame:
+    """The rows, all columns, whose key (a long) may be among the ids of the bitmap, which all executors get; or, not within, the others.
+
+    Up to one in sixteen rows that aren't among the ids passes, and more of them where ids are so many that the bitmap is full, so an exact
+    join has to follow; what is saved is the shuffle of the others, of which none is among the ids.
+    """
+    name = free_name(rows.columns, "bits")
+    at = F.xxhash64(key).bitwiseAND(F.size(F.col(name)).cast("long") * 64 - 1)
+    hit = F.getbit(F.get(F.col(name), F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(F.broadcast(bitmap.withColumnRenamed("bits", name)), hit, "left_semi" if within else "left_anti")
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -9,6 +9,9 @@ the exact similarity links, by a search that compares a document with those not
 _MOST members or _BYTES bytes isn't one task: all its members are compared with one of them, in as many tasks as there are salts, and
 those that aren't similar to that one are compared with all members in a grid of cells. In a group of near copies the
 first step leaves few for the second.
+
+Texts are the bulk of the input, and few of them have to move: a bitmap of hashed ids, of at most 4 MB, tells which rows of the scan
+may be members of a set, and at the end which may go. Only those are shuffled, and joined exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, byte_lengths, chunks, connected_components, frugal, group_starts, grouped, joined_hot, materialise, mixed, spread, windows
-from .simhash import fingerprint_links, fingerprints, rows_of
+from .common import Text, byte_lengths, chunks, connected_components, free_name, frugal, group_starts, grouped, id_bitmap, joined_hot, materialise, maybe_in, mixed, spread, windows
+from .simhash import fingerprint_links, fingerprints
 
 _BANDS, _MINIMA = 24, 5
 #: The largest set of candidates that is one task, in members and in bytes of shingle hashes; bytes of a side of a cell.
@@ -162,16 +165,20 @@ def keep_similar(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(byte_lengths(batch.column(0))):
-                h, bounds = shingle_sets(batch.column(0).slice(part.start, part.stop - part.start), words)
-                names = set_names(h, bounds)
-                blobs = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(blobs, pa.binary())], ["name", "hashes"])
+            texts = batch.column(0)
+            for part in chunks(byte_lengths(texts)):
+                n = part.stop - part.start
+                h, bounds = shingle_sets(texts.slice(part.start, n), words)
+                blobs = pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+                of = batch.slice(part.start, n)
+                # rows of one doc_id may have several texts: those of the member stay
+                own = pa.array(set_names(h, bounds).view(np.int64) == of.column("name").to_numpy())
+                yield pa.RecordBatch.from_arrays([*of.columns[1:], blobs], [*of.schema.names[1:], "hashes"]).filter(own)
 
     def held(members: DataFrame) -> DataFrame:
         """The members with their shingle sets."""
-        texts = plain.join(members.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("text")
-        return texts.mapInArrow(frugal(sets), "name long, hashes binary").join(members, "name")
+        texts = maybe_in(plain, F.col("doc_id"), id_bitmap(members.select("least"))).join(members, F.col("doc_id") == F.col("least")).select("text", *members.columns)
+        return texts.mapInArrow(frugal(sets), ", ".join(f"{c} {t}" for c, t in members.dtypes) + ", hashes binary")
 
     def found(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names, their least doc_id and the number of each one's group."""
@@ -187,8 +194,24 @@ def keep_similar(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits:
     gone = held(asked.where(~large)).groupBy("component").applyInArrow(meet, "doc_id long")
     if asked.where(large).limit(1).count():
         gone = gone.union(_of_large(materialise(held(asked.where(large)).dropDuplicates(["name"])), least, found))
-    kept = classes.select(F.col("least").alias("doc_id")).join(gone, "doc_id", "left_anti")
-    return rows_of(docs, materialise(rows.select("doc_id").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))))
+    kept = classes.select(F.col("least").alias("doc_id")).join(gone, "doc_id", "left_anti").distinct().withColumn("kept", F.lit(True))
+    fates = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept, "doc_id", "left")
+    return _without(docs, materialise(fates.where("kept IS NULL OR n > 1")))
+
+
+def _without(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """The documents but for odd(doc_id, n rows, kept), of which one row of each stays where kept is true. Those without a doc_id stay."""
+    name = free_name(docs.columns, "odd_id")
+    key = F.col("doc_id").cast("long")
+    ids = odd.select("doc_id")
+    bitmap = id_bitmap(ids)
+    maybe = maybe_in(docs, key, bitmap)
+    out = maybe_in(docs.where(key.isNotNull()), key, bitmap, False).unionByName(docs.where("doc_id IS NULL"))
+    out = out.unionByName(maybe.where(key.isNotNull()).join(ids.select(F.col("doc_id").alias(name)), key == F.col(name), "left_anti"))
+    several = odd.where("kept")
+    if several.limit(1).count():
+        out = out.unionByName(maybe.join(several.select(F.col("doc_id").alias(name)), key == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
+    return out
 
 
 def _of_large(members: DataFrame, least: float, found: Callable) -> DataFrame:
@@ -223,6 +246,8 @@ def _of_large(members: DataFrame, least: float, found: Callable) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(first[of])], ["a", "b"])
 
     links = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(frugal(search), "a long, b long")
+    # dealt out, so that a task has one Python worker: the next step's function would take a second one beside that of the cells
+    links = links.where("a <> b").repartition("a")
     groups = connected_components(links.union(to_head.where("near").select("name", "head")).where("a <> b"))
     grouped_ = groups.join(members.select(F.col("name").alias("node"), "least"), "node")
     firsts = grouped_.groupBy("component").agg(F.min("least").alias("first"))

@@ -422,7 +422,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _loaded(held.value)
+        m = Model(held.value)  # not kept: the worker lives on, and with it a hundred MB through all that follows
         for batch in batches:
             for part in chunks(byte_lengths(batch.column(1)), _CHARS):
                 n = part.stop - part.start

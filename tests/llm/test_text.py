@@ -9,8 +9,9 @@ import duckdb
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from multisift.llm import langid, mixing, pii, quality, queries, simhash, similar, spm, substring_dedup
+from multisift.llm import common, langid, mixing, pii, quality, queries, simhash, similar, spm, substring_dedup
 from multisift.llm.common import Text, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +198,59 @@ def test_large_sets_of_candidates(spark, monkeypatch):
     assert len(expected) > 2 and sorted(r.doc_id for r in similar.keep_similar(frame).collect()) == expected
 
 
+def test_similar_documents_shuffle_few_texts(spark):
+    """Texts that are no candidates, and those that stay, aren't shuffled: far less is written than all texts, of which there were two copies."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    usual, before = spark.conf.get(threshold), written()
+    spark.conf.set(threshold, "-1")
+    try:
+        got = similar.keep_similar(frame).select("doc_id", F.length("text")).collect()
+    finally:
+        spark.conf.set(threshold, usual)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert 0 < written() - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 25])
+def test_similar_documents_with_a_full_bitmap(spark, monkeypatch, bits):
+    """A bitmap that lets all rows pass, and one that lets few: repeated ids with one text or several, and rows without an id."""
+    monkeypatch.setattr(common, "_BITS", bits)
+    rows = [(i, t) for i, t in planted(0.005, 60)]
+    rows += [(3, rows[3][1]), (4, rows[4][1]), (4, rows[4][1]), (8, "another text of the same id " * 3), (None, rows[0][1]), (None, None), (500, rows[10][1]), (500, "ab cd")]
+    sets = [(i, brute_shingles(t)) for i, t in rows if i is not None]
+    of = groups([s for _, s in sets], lambda a, b: jaccard(a, b) >= 0.8)
+    kept = {min(i for (i, _), g in zip(sets, of) if g == h) for h in set(of)}
+    frame = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = [r.doc_id for r in similar.keep_similar(frame).collect()]
+    assert sorted(i for i in got if i is not None) == sorted(kept) and got.count(None) == 2
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "id long")
+    rest = [r.doc_id for r in common.maybe_in(spark.range(300).toDF("doc_id"), F.col("doc_id"), common.id_bitmap(ids), False).collect()]
+    most = [r.doc_id for r in common.maybe_in(spark.range(300).toDF("doc_id"), F.col("doc_id"), common.id_bitmap(ids)).collect()]
+    assert all(i % 3 for i in rest) and sorted(rest + most) == list(range(300)) and (len(rest) > 150) == (bits > 64)
+
+
+def test_large_sets_take_one_worker_a_task(spark, monkeypatch):
+    """Between the search in cells and the forest of its links is a shuffle; without one each task had two Python workers."""
+    monkeypatch.setattr(similar, "_MOST", 4)
+    plans = []
+    keep = lambda edges: (plans.append(edges._jdf.queryExecution().executedPlan().toString()), connected_components(edges))[1]
+    monkeypatch.setattr(similar, "connected_components", keep)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(20):
+        rows.append((i, " ".join(words)))
+        words[3 * i] = f"x{i}"
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(similar.keep_similar(frame).collect()) < 20
+    assert len(plans) == 2 and 0 < plans[1].index("Exchange") < plans[1].index("MapInArrow")
+
+
 def test_clashing_names_in_stages(spark):
     """Columns named as the working columns of the stages that add some."""
     schema = "doc_id long, text string, kept_id int, _kept_id int, n string, name long, component long, key string, source string, lang string, n_chars long"
