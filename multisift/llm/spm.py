@@ -69,12 +69,12 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Table:
     """A map of non-negative integers for many keys at once: open addressing, cleared when it is half full."""
 
-    def __init__(self, size: int):
-        self.bits = max(10, (4 * size).bit_length())
+    def __init__(self, size: int, kind: type = np.int64):
+        self.bits, self.kind = max(10, (4 * size).bit_length()), kind
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.values, self.used = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64), 0
+        self.keys, self.values, self.used = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, self.kind), 0
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -151,7 +151,7 @@ class Model:
         self._tree = Table(len(self.next))
         self._tree.put(np.fromiter(self.next, np.int64, len(self.next)), np.fromiter(self.next.values(), np.int64, len(self.next)))
         self._piece_at = np.array(self.piece, np.int64)
-        self._pairs = Table(_PAIRS)
+        self._pairs = Table(_PAIRS, np.int8)
         self._stays: dict[int, bool] = {}
         self._before: dict[str, bytes] = {}  # the runs of the last chunk
 
@@ -177,10 +177,13 @@ class Model:
         if known is None:
             if len(self._stays) > _PAIRS:
                 self._stays.clear()
-            parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
-            known = self._stays[key] = self.merged("".join(parts)) == parts
+            known = self._stays[key] = self._unmerged(left, right)
         return known
 
+    def _unmerged(self, left: int, right: int) -> bool:
+        parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
+        return self.merged("".join(parts)) == parts
+
     # ------------------------------------------------ search
 
     def search(self, text: str, window: int = 4) -> Iterator[tuple[int, int, int]]:
@@ -320,7 +323,7 @@ class Model:
                     new = np.unique(key[found < 0])
                     if len(new):
                         # put() may clear the map, so the answers found before are kept
-                        values = np.array([self.stays((k >> 32) - 1, k & 0xFFFFFFFF) for k in new.tolist()], np.int64)
+                        values = np.array([self._unmerged((k >> 32) - 1, k & 0xFFFFFFFF) for k in new.tolist()], np.int64)
                         pairs.put(new, values)
                         found[found < 0] = values[np.searchsorted(new, key[found < 0])]
                     ask = ask[found == 1]
@@ -422,7 +425,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False, compared: bool
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(held.value)  # not kept: the worker lives on, and with it a hundred MB through all that follows
+        m = _loaded(held.value)
         for batch in batches:
             for part in chunks(byte_lengths(batch.column(1)), _CHARS):
                 n = part.stop - part.start

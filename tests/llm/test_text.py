@@ -251,6 +251,18 @@ def test_large_sets_take_one_worker_a_task(spark, monkeypatch):
     assert len(plans) == 2 and 0 < plans[1].index("Exchange") < plans[1].index("MapInArrow")
 
 
+def test_pairs_of_pieces_are_held_once():
+    """What the search in lanes learns of a pair of pieces is a byte beside its key, not an entry of a second map too."""
+    model = spm.Model(spm.read_model())
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))) for _ in range(300)) for _ in range(20)]
+    found = model.encoded(texts)
+    assert model._pairs.used > 100 and not model._stays and model._pairs.values.itemsize == 1
+    assert 9 * len(model._pairs.keys) < 20_000_000
+    alone = spm.Model(spm.read_model())
+    assert found == [b"".join(alone._run(run) for run in alone.runs.findall(spm.SPACE + t.replace(" ", spm.SPACE))) for t in texts]
+
+
 def test_clashing_names_in_stages(spark):
     """Columns named as the working columns of the stages that add some."""
     schema = "doc_id long, text string, kept_id int, _kept_id int, n string, name long, component long, key string, source string, lang string, n_chars long"
