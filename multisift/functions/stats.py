@@ -18,26 +18,37 @@ from pyspark.sql import types as T
 from ..model import checkpointed
 
 
-def poisson_above(x: Column, rate: Column, terms: int = 150) -> Column:
-    """P(X > x) of a Poisson variable: from x + 1 upwards where that tail is the small one, else one less the sum up to x.
+def _poisson_density(k: Column, rate: Column) -> Column:
+    """P(X = k) for k >= 0 and rate > 0: by the factorial up to 20, beyond it by Stirling's series, whose parts stay small near the rate."""
+    y = F.greatest(k, F.lit(1.0))
+    u = (rate - y) / y
+    away = F.when(F.abs(u) < 0.5, y * (u - F.log1p(u))).otherwise(y * F.log(y / rate) + rate - y)
+    rest = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (y * y)) / (y * y)) / (y * y)) / y
+    few = F.exp(k * F.log(rate) - rate - F.log(F.factorial(F.least(k, F.lit(20.0)).cast("int")).cast("double")))
+    return F.when(k <= 20, few).otherwise(F.exp(-away - F.log(2 * math.pi * y) / 2 - rest))
 
-    Terms are carried as logarithms, so large rates don't underflow. Null in, null out; rate 0 gives 0 for x >= 0.
+
+def poisson_above(x: Column, rate: Column) -> Column:
+    """P(X > x) of a Poisson variable: from x + 1 upwards where that tail is the small one, else one less the sum from x downwards.
+
+    Either sum starts at its largest term and is whole: its length grows with the root of x, so that the first term left out is less
+    than exp(-45) of the largest. Null in, null out; rate 0 gives 0 for x >= 0.
     """
-    x = F.floor(x).cast("int")
-    zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"))
-    below = F.aggregate(
-        F.when(x >= 1, F.sequence(F.lit(1), F.greatest(x, F.lit(1)))).otherwise(F.array().cast("array<int>")),
-        zero,
-        lambda a, i: F.struct((a["log"] + F.log(rate / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.log(rate / i))).alias("sum")),
-    )
-    first = below["log"] + F.log(rate / (x + 1))
-    above = F.aggregate(
-        F.sequence(F.lit(2), F.lit(terms)),
-        F.struct(F.exp(first).alias("term"), F.exp(first).alias("sum")),
-        lambda a, i: F.struct((a["term"] * rate / (x + i)).alias("term"), (a["sum"] + a["term"] * rate / (x + i)).alias("sum")),
-        lambda a: a["sum"],
-    )
-    tail = F.when(x + 1 > rate, above).otherwise(F.greatest(F.lit(0.0), 1 - below["sum"]))
+    x, rate = F.floor(x).cast("double"), rate.cast("double")
+    k, r = F.greatest(x, F.lit(0.0)), F.when(rate > 0, rate).otherwise(1.0)
+
+    def summed(first: Column, last: Column, ratio: Callable[[Column], Column]) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.ceil(last).cast("int")),
+            F.struct(first.alias("term"), first.alias("sum")),
+            lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum")),
+            lambda a: a["sum"],
+        )
+
+    # products of j ratios are at most exp(-j * j / 2 / (k + 1 + j)) upwards and exp(-j * (j - 1) / 2 / k) downwards
+    above = summed(_poisson_density(k + 1, r), 45 + F.sqrt(45 * 45 + 90 * (k + 1)), lambda i: r / (k + 1 + i))
+    below = summed(_poisson_density(k, r), F.greatest(F.lit(1.0), F.least(k, 1 + F.sqrt(90 * k))), lambda i: (k + 1 - i) / r)
+    tail = F.when(k + 1 > r, above).otherwise(F.greatest(F.lit(0.0), 1 - below))
     return F.when(x.isNull() | rate.isNull(), None).when(x < 0, 1.0).when(rate <= 0, 0.0).otherwise(F.least(F.lit(1.0), tail))
 
 

@@ -188,3 +188,14 @@ def test_result_shapes(spark):
     assert {r.cell_id: r.multisift_score for r in multiplets.shaped(table, cells, "cells").collect()} == {"a": 0.1, "b": 0.9, "c": None}
     with pytest.raises(ValueError):
         multiplets.shaped(table, cells, "other")
+
+
+def test_poisson_tail_sums_all_its_terms(spark):
+    cases = [(20, 20.5), (20000, 20000.0), (20150, 20000.5), (299999, 300000.0), (301500, 300000.0), (298500, 300000.0), (2_000_100, 2_000_000.0), (21, 3.0), (19, 1e-3), (40, 1e-20), (0, 800.0), (5, 800.0)]
+    df = spark.createDataFrame(cases, "x int, rate double")
+    for r in df.select("x", "rate", stats.poisson_above(F.col("x"), F.col("rate")).alias("p")).collect():
+        wide = int(40 * math.sqrt(r.rate + r.x)) + 100
+        log = [k * math.log(r.rate) - r.rate - math.lgamma(k + 1) for k in range(max(0, r.x - wide), r.x + wide)]
+        ks = range(max(0, r.x - wide), r.x + wide)
+        exact = math.fsum(math.exp(v) for k, v in zip(ks, log, strict=True) if k > r.x) if r.x + 1 > r.rate else 1 - math.fsum(math.exp(v) for k, v in zip(ks, log, strict=True) if k <= r.x)
+        assert r.p == pytest.approx(exact, rel=1e-7, abs=0), r
