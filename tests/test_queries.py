@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from multisift import queries as core
 
@@ -40,6 +41,20 @@ def test_agrees_with_sql(spark, duck, sf, name):
     assert rows(df.columns, df.collect()) == rows([c[0] for c in found.description], found.fetchall())
 
 
+def test_poisson_tail_agrees_with_sql_where_features_are_frequent(spark, tmp_path):
+    orders = spark.range(60050).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"))
+    feature = F.when(F.col("id") < 20000, 0).when(F.col("id") < 40150, 1).otherwise(2)
+    items = spark.range(60050).select(F.col("id").alias("l_orderkey"), feature.alias("l_partkey"), F.lit(50).alias("l_quantity"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["prb1_poisson_tail"](spark, str(tmp_path))
+    found = con.execute(SQL["prb1_poisson_tail"])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in found.description], found.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
