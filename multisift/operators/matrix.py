@@ -82,7 +82,8 @@ def cluster_correlation(counts: DataFrame, cells: DataFrame, features: DataFrame
     """(cell_id, cluster, rho): Spearman's correlation of each cell with each cluster's mean profile over all given features.
 
     A cell's zeros share one average rank, so only its non-zero entries have rows: with r ranks, x profile ranks and z the zeros'
-    rank, sum(r * x) = sum over non-zero of (r - z) * x + z * sum(x).
+    rank, sum(r * x) = sum over non-zero of (r - z) * x + z * sum(x). Every cell has a row for each cluster, with a null for a cell
+    without counts; counts of other cells don't appear.
     """
     if features is not None:
         counts = counts.join(features.select("feature").distinct(), "feature", "left_semi")
@@ -98,7 +99,8 @@ def cluster_correlation(counts: DataFrame, cells: DataFrame, features: DataFrame
     mine = ranked.groupBy("cell_id").agg(F.sum("r").alias("r1"), F.sum(F.col("r") * F.col("r")).alias("r2"), F.first("z").alias("z"), F.first("z0").alias("z0"))
     mine = mine.select("cell_id", "z", (F.col("r1") + F.col("z0") * F.col("z")).alias("sr"), (F.col("r2") + F.col("z0") * F.col("z") * F.col("z")).alias("srr"))
     cross = ranked.join(profile, "feature").groupBy("cell_id", "cluster").agg(F.sum((F.col("r") - F.col("z")) * F.col("x")).alias("d"))
-    out = cross.join(mine, "cell_id").join(F.broadcast(moments), "cluster")  # one row for each cluster
+    every = cells.select("cell_id").distinct().join(mine, "cell_id", "left").crossJoin(F.broadcast(moments))  # one row for each cluster
+    out = every.join(cross, ["cell_id", "cluster"], "left")
     cov = F.col("d") + F.col("z") * F.col("sx") - F.col("sr") * F.col("sx") / m
     return out.select("cell_id", "cluster", F.try_divide(cov, F.sqrt((F.col("srr") - F.col("sr") * F.col("sr") / m) * (F.col("sxx") - F.col("sx") * F.col("sx") / m))).alias("rho"))
 

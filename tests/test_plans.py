@@ -199,3 +199,10 @@ def test_poisson_tail_sums_all_its_terms(spark):
         ks = range(max(0, r.x - wide), r.x + wide)
         exact = math.fsum(math.exp(v) for k, v in zip(ks, log, strict=True) if k > r.x) if r.x + 1 > r.rate else 1 - math.fsum(math.exp(v) for k, v in zip(ks, log, strict=True) if k <= r.x)
         assert r.p == pytest.approx(exact, rel=1e-7, abs=0), r
+
+
+def test_cluster_correlation_has_all_cells_and_no_others(spark):
+    counts = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 1.0), ("stray", "x", 3.0)], "cell_id string, feature string, count double")
+    cells = spark.createDataFrame([("a", "k"), ("b", "l"), ("empty", "l")], "cell_id string, cluster string")
+    got = {(r.cell_id, r.cluster): r.rho for r in matrix.cluster_correlation(counts, cells).collect()}
+    assert got == {("a", "k"): 1, ("a", "l"): 1, ("b", "k"): 1, ("b", "l"): 1, ("empty", "k"): None, ("empty", "l"): None}
