@@ -206,3 +206,34 @@ def test_cluster_correlation_has_all_cells_and_no_others(spark):
     cells = spark.createDataFrame([("a", "k"), ("b", "l"), ("empty", "l")], "cell_id string, cluster string")
     got = {(r.cell_id, r.cluster): r.rho for r in matrix.cluster_correlation(counts, cells).collect()}
     assert got == {("a", "k"): 1, ("a", "l"): 1, ("b", "k"): 1, ("b", "l"): 1, ("empty", "k"): None, ("empty", "l"): None}
+
+
+def test_boosting_sorts_once_and_finds_the_best_splits(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.round(rng.normal(size=400), 1), np.floor(rng.normal(size=400)), np.zeros(400), rng.normal(size=400)])
+    y = (x[:, 0] + x[:, 3] + rng.normal(size=400) > 0.5).astype(float)
+
+    def tree(grad, hess, rows, depth):
+        g, h, best = grad[rows].sum(), hess[rows].sum(), None
+        for f in range(x.shape[1]) if depth and len(rows) >= 4 else ():
+            for a, b in zip(np.unique(x[rows, f])[:-1], np.unique(x[rows, f])[1:], strict=True):
+                low = rows[x[rows, f] <= a]
+                gl, hl = grad[low].sum(), hess[low].sum()
+                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if hl >= 1 and h - hl >= 1 and gain > 1e-9 and (best is None or gain > best[0]):
+                    best = gain, f, (a + b) / 2
+        if best is None:
+            return np.full(len(x), 0.3 * g / (h + 1))
+        low = x[:, best[1]] < best[2]
+        return np.where(low, tree(grad, hess, rows[low[rows]], depth - 1), tree(grad, hess, rows[~low[rows]], depth - 1))
+
+    sorts, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or sort(*a, **k))
+    model_ = boosting.Booster(3, subsample=1.0)
+    model_.fit(x, y, 2)
+    assert len(sorts) == 1
+    margin = np.zeros(len(y))
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        margin += tree(y - p, p * (1 - p), np.arange(len(y)), 3)
+    assert model_.predict(x) == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-9)
